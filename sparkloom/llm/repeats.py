@@ -12,10 +12,13 @@ is W consecutive units (bytes or words) of one document.  The stages:
 3. Runs: the windows with one and the same gram are neighbours.  The span that
    a run covers is ranked as a whole; a run that has been seen earlier is
    settled by one row.
-4. Runs whose gram stands in several different spans are taken apart: each of
-   their windows is named by its rank pair (name of the first half, name of the
-   half that starts W/2 later), sorted and reranked; names that stay single are
-   dropped.
+4. Runs whose gram stands in several different spans are taken apart into cells
+   of a few windows, aligned to the gram.  The core of a cell is what all its
+   windows share: a core that stays single ends there, a span seen earlier is
+   settled, and only cells whose core stands in several spans go on.
+5. In these each window is named by its rank pair (name of the first half, name
+   of the half that starts W/2 later), sorted and reranked; pairs that stay
+   single are dropped.
 
 Every step is a map-side combined aggregate or an equi-join whose one side has
 one row for a key, so that a passage in a third of all documents costs a row
@@ -27,6 +30,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +47,15 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 class Kind:
     """What a unit is, how long a window is, and which occurrences count.
 
-    within: an earlier start in the same document counts too.
+    within: an earlier start in the same document counts too; cells: numbers of
+    windows into which open runs are taken apart, down to 1.
     """
 
     words: bool
     window: int
     gram: int
     within: bool
+    cells: tuple[int, ...]
 
 
 def _parts(batch: pa.RecordBatch, kind: Kind) -> Iterator[tuple[int, int, Units, Words | None, np.ndarray, np.ndarray]]:
@@ -77,7 +83,7 @@ def _summaries(kind: Kind) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, units, words, own, off in _parts(batch, kind):
-                first, last, row, gram = units.runs(kind.window, kind.gram)
+                _, _, row, gram, _ = units.runs(kind.window, kind.gram)
                 border = np.searchsorted(row, np.arange(hi - lo + 1))
                 sig, sha, found, own_twice = [], [], [], []
                 for i in range(hi - lo):
@@ -119,58 +125,70 @@ def _run_rows(kind: Kind) -> Callable:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             wanted = batch.column("wanted")
             for lo, hi, units, _, _, _ in _parts(batch, kind):
-                first, last, row, gram = units.runs(kind.window, kind.gram)
+                first, last, row, gram, q = units.runs(kind.window, kind.gram)
                 border = np.searchsorted(row, np.arange(hi - lo + 1))
                 keep = np.zeros(len(row), bool)
                 for i in range(hi - lo):
                     some = np.asarray(wanted[lo + i].values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
                     keep[border[i] : border[i + 1]] = np.isin(gram[border[i] : border[i + 1]], some)
-                first, last, row, gram = first[keep], last[keep], row[keep], gram[keep]
-                end = last + kind.window
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[lo + row]),
-                        pa.array((first - units.offsets[row]).astype(np.int32)),
-                        pa.array((last - first + 1).astype(np.int32)),
-                        pa.array(signed(gram)),
-                        pa.array(signed(units.spans(first, end, 0))),
-                        pa.array(signed(units.spans(first, end, 1))),
-                    ],
-                    ["doc_id", "at", "n", "gram", "c1", "c2"],
-                )
+                first, last, row, gram, q = first[keep], last[keep], row[keep], gram[keep], q[keep]
+                yield _rows(ids[lo + row], units, row, first, last, q, gram, units.spans(first, last + kind.window, 1))
 
     return run
 
 
-def _window_rows(kind: Kind) -> Callable:
+#: A run or cell of windows: first start and number of starts, how far behind
+#: the first start its gram begins, what all its windows share, what it covers.
+ROW = "doc_id long, at int, n int, off int, core long, span long"
+
+
+def _rows(ids, units: Units, row, first, last, q, core, span) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(ids),
+            pa.array((first - units.offsets[row]).astype(np.int32)),
+            pa.array((last - first + 1).astype(np.int32)),
+            pa.array((q - first).astype(np.int32)),
+            pa.array(signed(core)),
+            pa.array(signed(span)),
+        ],
+        ["doc_id", "at", "n", "off", "core", "span"],
+    )
+
+
+def _cell_rows(kind: Kind, size: int) -> Callable:
+    """Open runs taken apart into cells of at most ``size`` windows, aligned to the gram."""
     half = kind.window // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             runs = batch.column("runs")
+            count = np.diff(runs.offsets.to_numpy()) if len(runs) else np.zeros(0, np.int64)
+            flat = runs.flatten()
+            at, n, off = (np.asarray(flat.field(k).to_numpy(zero_copy_only=False), np.int64) for k in range(3))
+            owner = np.repeat(np.arange(len(runs)), count)
             for lo, hi, units, _, _, _ in _parts(batch, kind):
-                names = units.grams(half)
-                where, owner = [], []
-                for i in range(hi - lo):
-                    for r in runs[lo + i].as_py():
-                        where.append(np.arange(r["at"], r["at"] + r["n"]) + units.offsets[i])
-                        owner.append(np.full(r["n"], i))
-                if not where:
+                own = slice(*np.searchsorted(owner, [lo, hi]))
+                if own.start == own.stop:
                     continue
-                p, i = np.concatenate(where), np.concatenate(owner)
-                second = units.spans(p + half, p + kind.window, 1)
-                for c in range(0, len(p), 1 << 18):
+                row = np.repeat(owner[own] - lo, n[own])
+                step = np.arange(len(row)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+                s = np.repeat(at[own], n[own]) + units.offsets[row] + step
+                q = np.repeat(at[own] + off[own], n[own]) + units.offsets[row]
+                cell = (q - s) // size
+                cut = np.flatnonzero((q[1:] != q[:-1]) | (cell[1:] != cell[:-1]) | (s[1:] != s[:-1] + 1)) + 1
+                a, b = np.r_[0, cut], np.r_[cut, len(s)] - 1
+                first, last, row, q, cell = s[a], s[b], row[a], q[a], cell[a]
+                if size == 1:
+                    core, span = units.spans(first, first + half, 0), units.spans(first + half, first + kind.window, 1)
+                else:  # windows of a full cell start from q - cell * size - size + 1 to q - cell * size
+                    low = q - cell * size
+                    core = units.spans(low, low - size + 1 + kind.window, 0)
+                    span = units.spans(first, last + kind.window, 1)
+                for c in range(0, len(a), 1 << 18):
                     d = slice(c, c + (1 << 18))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(signed(names[p[d]])),
-                            pa.array(signed(second[d])),
-                            pa.array(ids[lo + i[d]]),
-                            pa.array((p[d] - units.offsets[i[d]]).astype(np.int32)),
-                        ],
-                        ["r1", "r2", "doc_id", "at"],
-                    )
+                    yield _rows(ids[lo + row[d]], units, row[d], first[d], last[d], q[d], core[d], span[d])
 
     return run
 
@@ -246,42 +264,33 @@ def remove_repeats(docs: DataFrame, kind: Kind, name: str) -> DataFrame:
     )
     # The texts that can hold a repeat at all; what follows reads only these.
     texts = scratch.cut(docs.join(wanted, "doc_id").dropDuplicates(["doc_id"]))
-    runs = scratch.cut(
-        texts.mapInArrow(_run_rows(kind), "doc_id long, at int, n int, gram long, c1 long, c2 long")
-    )
-    span = ["gram", "c1", "c2"]
-    ranked = runs.groupBy(*span).agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    several = ranked.groupBy("gram").agg(F.count("*").alias("n_spans")).where("n_spans > 1")
-    ranked = scratch.cut(
-        ranked.join(several.select("gram", F.lit(True).alias("several")), "gram", "left")
-        .select(*span, F.col("first.doc_id").alias("f_doc"), F.col("first.at").alias("f_at"), F.coalesce("several", F.lit(False)).alias("several"))
-    )
     later = "doc_id > f_doc or doc_id = f_doc and at > f_at" if kind.within else "doc_id > f_doc"
-    runs_ranked = scratch.cut(
-        runs.join(ranked, span).select("doc_id", "at", "n", F.expr(later).alias("settled"), "several").where("settled or several")
-    )
-    open_runs = (
-        runs_ranked.where("not settled").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    )
-    windows = scratch.cut(
-        texts.select("doc_id", "text").join(open_runs, "doc_id").mapInArrow(_window_rows(kind), "r1 long, r2 long, doc_id long, at int")
-    )
-    names = windows.groupBy("r1", "r2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("times"))
-    names = names.where("times > 1").select("r1", "r2", F.col("first.doc_id").alias("f_doc"), F.col("first.at").alias("f_at"))
-    single = windows.join(names, ["r1", "r2"]).where(later).select("doc_id", "at", F.lit(1).alias("n"))
-    spans = (
-        runs_ranked.where("settled").select("doc_id", "at", "n")
-        .unionByName(single)
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    )
+    rows = scratch.cut(texts.mapInArrow(_run_rows(kind), ROW))
+    settled = []
+    for size in (*kind.cells, 0):
+        ranked = rows.groupBy("core", "span").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("times"))
+        ranked = scratch.cut(ranked)
+        several = ranked.groupBy("core").agg(F.count("*").alias("n_spans")).where("n_spans > 1").select("core", F.lit(True).alias("several"))
+        ranks = ranked.join(several, "core", "left").where("times > 1 or several").select(
+            "core", "span", F.col("first.doc_id").alias("f_doc"), F.col("first.at").alias("f_at"), F.coalesce("several", F.lit(False)).alias("several")
+        )
+        judged = scratch.cut(
+            rows.join(ranks, ["core", "span"]).select("doc_id", "at", "n", "off", F.expr(later).alias("settled"), "several").where("settled or several")
+        )
+        scratch.drop(rows, ranked)
+        settled.append(judged.where("settled").select("doc_id", "at", "n"))
+        if not size:
+            break
+        open_runs = judged.where("not settled").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "off")).alias("runs"))
+        rows = scratch.cut(texts.select("doc_id", "text").join(open_runs, "doc_id").mapInArrow(_cell_rows(kind, size), ROW))
+    spans = reduce(DataFrame.unionByName, settled).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     verdict = scratch.cut(
         texts.select("doc_id", "text").join(spans, "doc_id").mapInArrow(
             _verdicts(kind),
             "doc_id long, n_removed long, n_spans long, kept_sha256 string, removed_spans array<struct<start:long,end:long>>",
         )
     )
-    scratch.drop(texts, runs, ranked, runs_ranked, windows)
+    scratch.drop(texts)
     copy = F.coalesce(F.col("doc_id") > F.col("head"), F.lit(False))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_units").alias("end")))
     return (

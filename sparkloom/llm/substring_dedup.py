@@ -23,7 +23,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     """Verdict of every row of ``docs``: n_words, n_removed, kept_sha256, removed word spans."""
     if window < 4 or window % 2:
         raise ValueError("window must be even and 4 at least")
-    out = remove_repeats(docs, Kind(words=True, window=window, gram=window // 2, within=False), "substring")
+    out = remove_repeats(docs, Kind(words=True, window=window, gram=window // 2, within=False, cells=(4, 1)), "substring")
     return out.withColumnRenamed("n_units", "n_words")
 
 

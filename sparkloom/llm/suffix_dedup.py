@@ -25,7 +25,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     """Verdict of every row of ``docs``: n_bytes, n_removed, n_spans, kept_sha256, removed byte spans."""
     if length < 8 or length % 2:
         raise ValueError("length must be even and 8 at least")
-    out = remove_repeats(docs, Kind(words=False, window=length, gram=max(2, length // 4), within=True), "suffix")
+    out = remove_repeats(docs, Kind(words=False, window=length, gram=max(2, length // 4), within=True, cells=(8, 1)), "suffix")
     return out.withColumnRenamed("n_units", "n_bytes")
 
 

@@ -212,27 +212,27 @@ class Units:
         total, down = self._sums(seed)
         return _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
-    def runs(self, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def runs(self, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Windows of each row, gathered by the k-gram that is their leftmost minimum.
 
         Returns for each run of windows: first start, last start, row, hash of
-        the gram.  Equal windows have equal grams wherever they stand, so a
+        the gram, start of the gram.  Equal windows have equal grams wherever they stand, so a
         window whose gram occurs nowhere else is itself unique.
         """
         none = np.zeros(0, np.int64)
         g = self.grams(k)
         at = window_argmin(g, window - k + 1)
         if len(at) == 0:
-            return none, none, none, np.zeros(0, np.uint64)
+            return none, none, none, np.zeros(0, np.uint64), none
         row = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))[: len(at)]
         ok = np.arange(len(at)) + window <= self.offsets[1:][row]
         s = np.flatnonzero(ok)
         if len(s) == 0:
-            return none, none, none, np.zeros(0, np.uint64)
+            return none, none, none, np.zeros(0, np.uint64), none
         q = at[s]
         cut = np.flatnonzero((q[1:] != q[:-1]) | (s[1:] != s[:-1] + 1)) + 1
         lo, hi = np.r_[0, cut], np.r_[cut, len(s)] - 1
-        return s[lo], s[hi], row[s[lo]], g[q[lo]]
+        return s[lo], s[hi], row[s[lo]], g[q[lo]], q[lo]
 
 
 def byte_units(raw: np.ndarray, offsets: np.ndarray) -> Units:
