@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import decontamination, mixing, ngram_join, substring_dedup, suffix_dedup
+from sparkloom.llm import decontamination, mixing, ngram_join, quality, substring_dedup, suffix_dedup
 
-MODULES = [decontamination, mixing, ngram_join, suffix_dedup, substring_dedup]
+MODULES = [decontamination, mixing, ngram_join, quality, suffix_dedup, substring_dedup]
 
 
 def queries() -> dict:
