@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import decontamination, line_dedup, mixing, ngram_join, quality, substring_dedup, suffix_dedup
+from sparkloom.llm import decontamination, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, suffix_dedup
 
-MODULES = [decontamination, line_dedup, mixing, ngram_join, quality, suffix_dedup, substring_dedup]
+MODULES = [decontamination, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, substring_dedup]
 
 
 def queries() -> dict:

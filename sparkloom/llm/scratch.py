@@ -18,6 +18,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Drops the shuffle files of a query when it ends; a table that has been cut needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Writes DataFrames as Parquet below the shared folder and rereads them.
 
@@ -33,7 +37,12 @@ class Scratch:
     def cut(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", compression).parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", compression).parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
