@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import decontamination, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, suffix_dedup, url_filter
+from sparkloom.llm import decontamination, html_extraction, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, suffix_dedup, url_filter
 
-MODULES = [decontamination, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, url_filter, substring_dedup]
+MODULES = [decontamination, html_extraction, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, url_filter, substring_dedup]
 
 
 def queries() -> dict:
