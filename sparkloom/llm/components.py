@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparkloom.llm.scratch import Scratch
@@ -12,46 +12,42 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def _counted(edges: DataFrame) -> tuple[DataFrame, Observation]:
+    """Count and checksum of a table, taken while it is written."""
+    seen = Observation()
+    return edges.observe(seen, F.count("*").alias("n"), F.expr("sum(cast(xxhash64(u, v) as decimal(38, 0)))").alias("sum")), seen
+
+
+def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
     """Component of every node that has a link.
 
     links: columns a, b (long); duplicates, both directions and a = b allowed.
     Returns node, component (the smallest node reachable).  An empty input
-    gives an empty table.  Each round is a map-side combined minimum and an
-    equi-join; nothing is collected but one count and checksum a round.  The
-    number of rounds grows with the logarithm of the longest chain.
+    gives an empty table.  Each round is two map-side combined minima and
+    equi-joins with one row for each node on one side; it ends when a round
+    changes nothing.  The number of rounds grows with the logarithm of the
+    longest path; stars take two.  Nothing but a count and a checksum reaches
+    the driver.
     """
-    edges = scratch.cut(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    seen = None
+    first = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    first, seen = _counted(first)
+    edges, before = scratch.cut(first), seen.get
     for _ in range(max_rounds):
+        if not before["n"]:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            both.join(_least(both), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).distinct()
-        small = large.join(_least(large), "u")
-        small = (
-            small.where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(small.select("u", F.col("m").alias("v")))
-            .distinct()
+        large = both.join(_least(both), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(_least(large), "u").select(
+            F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
         )
-        after = scratch.cut(small)
+        after, seen = _counted(small.select("e.u", "e.v").where("u <> v").distinct())
+        after = scratch.cut(after)
         scratch.drop(edges)
-        edges = after
-        now = edges.agg(
-            F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))"), F.count_distinct("u"), F.expr("count_if(v = u)")
-        ).first()
-        if now == seen or now[0] == now[2] and not _chained(edges):
+        edges, now = after, seen.get
+        if now == before:
             break
-        seen = now
+        before = now
     else:
         raise RuntimeError("components did not settle")
     top = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(top)
-
-
-def _chained(edges: DataFrame) -> bool:
-    """Whether some node is both above and below another."""
-    return bool(edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi").take(1))

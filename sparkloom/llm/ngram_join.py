@@ -10,10 +10,10 @@ partial counts are summed per pair.
 2. Candidates: two sets that reach the threshold share a name among the first
    ``n - ceil(t * n) + 1`` of the order in each.  Only these names are dealt
    out.  Which names come last decides about speed alone, never about links.
-3. Dense groups are linked along a chain first: in every group of documents
-   that share a name, neighbours in some order are verified; documents that are
-   connected already need no further comparison.  Rounds go on while many pairs
-   of different components are left in one group.
+3. Dense groups are linked as stars first: in every group of documents that
+   share a name, each is verified against one hub; documents that are connected
+   already need no further comparison.  Rounds with other hubs go on while many
+   pairs of different components are left in one group.
 4. What is left is complete: every pair of documents of different components
    that share a name within the prefix is enumerated, filtered by size,
    position and shared prefix names, and verified.  So components are exact.
@@ -46,9 +46,9 @@ COMMON_NAMES = 1 << 20
 ORDER_ROUNDS = 4
 #: Fragments of the global order.
 FRAGMENTS = 8
-#: Documents of one group that one chain holds.
-CHAIN = 4096
-CHAIN_ROUNDS = 8
+#: Documents of one group that one star holds.
+STAR = 4096
+STAR_ROUNDS = 8
 
 
 def prefix_length(n, percent: int):
@@ -245,14 +245,13 @@ class _Join:
         live = rows.join(groups.select("name"), "name", "left_semi")
         return live, int(total[0] or 0), int(total[1] or 0)
 
-    def chain_pairs(self, live: DataFrame, k: int) -> DataFrame:
-        """Neighbours of different components in each group, one partner for each document."""
-        order = [F.col("n"), F.col("doc_id")] if k == 0 else [F.xxhash64("comp", F.lit(k)), F.xxhash64("doc_id", F.lit(k))]
-        salt = F.pmod(F.xxhash64("doc_id", "name", F.lit(k)), F.ceil(F.col("c") / CHAIN)).alias("salt")
-        w = Window.partitionBy("name", "salt").orderBy(*order)
-        before = F.lag(F.struct("doc_id", "n", "comp")).over(w)
-        met = live.select("name", "doc_id", "n", "c", "comp", salt).select("doc_id", "n", "comp", before.alias("p"))
-        met = met.where("p is not null and p.comp <> comp").select(
+    def star_pairs(self, live: DataFrame, k: int) -> DataFrame:
+        """Each document with the first one, in a random order of components, of the groups it is in; one partner each."""
+        salt = F.pmod(F.xxhash64("doc_id", "name", F.lit(k)), F.ceil(F.col("c") / STAR)).alias("salt")
+        w = Window.partitionBy("name", "salt").orderBy(F.xxhash64("comp", F.lit(k)), F.xxhash64("doc_id", F.lit(k)))
+        hub = F.first(F.struct("doc_id", "n", "comp")).over(w)
+        met = live.select("name", "doc_id", "n", "c", "comp", salt).select("doc_id", "n", "comp", hub.alias("p"))
+        met = met.where("p.comp <> comp").select(
             F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("p.doc_id").alias("y"), F.col("p.n").alias("ny")
         )
         met = met.where(f"{self.needed('nx', 'ny')} <= least(nx, ny)")
@@ -284,15 +283,16 @@ class _Join:
         )
 
     def components(self, dealt: DataFrame, sets: DataFrame) -> DataFrame:
-        links = labels = None
-        for k in range(CHAIN_ROUNDS + 1):
+        labels = None
+        for k in range(STAR_ROUNDS + 1):
             live, rows, cross = self.open_groups(dealt, labels)
             if rows == 0:
                 break
-            last = k == CHAIN_ROUNDS or k > 0 and cross <= COMMON * rows
-            pairs = self.scratch.cut(self.all_pairs(live) if last else self.chain_pairs(live, k))
-            found = self.verify(pairs, sets)
-            links = found if links is None else links.union(found)
+            last = k == STAR_ROUNDS or k > 0 and cross <= COMMON * rows
+            pairs = self.scratch.cut(self.all_pairs(live) if last else self.star_pairs(live, k))
+            links = self.verify(pairs, sets)
+            if labels is not None:  # what is known is a star for each component
+                links = links.union(labels.where("node <> component"))
             labels = self.scratch.cut(connected_components(links, self.scratch))
             if last:
                 break
