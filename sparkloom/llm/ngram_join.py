@@ -6,10 +6,13 @@ moved to the end.  The order is cut into fragments (ranges of the name); the
 overlap of a pair of documents is counted in each fragment separately and the
 partial counts are summed per pair.
 
-1. Documents with equal sets are one class; its smallest doc_id stands for it.
-2. Candidates: two sets that reach the threshold share a name among the first
+1. Names that repeat within a batch of rows are counted over all batches; the
+   most common ones are put last.  Which names these are decides about speed
+   alone, never about links.
+2. Documents with equal sets are one class; its smallest doc_id stands for it.
+   Candidates: two sets that reach the threshold share a name among the first
    ``n - ceil(t * n) + 1`` of the order in each.  Only these names are dealt
-   out.  Which names come last decides about speed alone, never about links.
+   out; whole sets are made again for documents of pairs under verification.
 3. Dense groups are linked as stars first: in every group of documents that
    share a name, each is verified against one hub; documents that are connected
    already need no further comparison.  Rounds with other hubs go on while many
@@ -38,12 +41,13 @@ from sparkloom.llm.components import connected_components
 from sparkloom.llm.scratch import Scratch
 from sparkloom.llm.textkernel import Words, chunks, row_bytes, signed, word_units
 
-#: Names held by more documents than this come last in the global order.  The
-#: limit rises with the table so that at most 2**20 names (8 MB) are broadcast
-#: in each of at most ORDER_ROUNDS rounds.
+#: Names counted more often than this come last in the global order.  The limit
+#: rises with the sum of all counts, so that at most 2**21 names (16 MB) are
+#: broadcast, whatever the size of the table.
 COMMON = 16
-COMMON_NAMES = 1 << 20
-ORDER_ROUNDS = 4
+COMMON_NAMES = 1 << 21
+#: Documents whose texts are looked up by a broadcast of their ids (8 bytes each and overhead).
+LOOKUP = 500_000
 #: Fragments of the global order.
 FRAGMENTS = 8
 #: Documents of one group that one star holds.
@@ -71,18 +75,14 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield lo + i, short[i : i + 1] if count else short[:0]
 
 
-def _summaries(n: int, percent: int) -> Callable:
+def _repeated_names(n: int) -> Callable:
+    """Names that several documents of a batch have, and in how many."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, sig, prefix = [], [], []
-            for _, s in _sets(batch, n):
-                size.append(len(s))
-                sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                prefix.append(s[: prefix_length(len(s), percent)].tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary())],
-                ["doc_id", "n", "sig", "prefix"],
-            )
+            sets = [s for _, s in _sets(batch, n)]
+            names, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield from _slices([signed(names[times > 1]), times[times > 1].astype(np.int64)], ["name", "c"])
 
     return run
 
@@ -92,76 +92,59 @@ def _slices(columns: list[np.ndarray], names: list[str], size: int = 1 << 18) ->
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in columns], names)
 
 
-def _first_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, offsets = row_bytes(batch.column("prefix"))
-        ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), np.diff(offsets) // 8)
-        yield from _slices([np.frombuffer(raw.tobytes(), np.int64), ids], ["name", "doc_id"])
+def _summaries(n: int, percent: int, common) -> Callable:
+    """Size, name of the whole set, and the first names under the order (common last, value)."""
 
-
-def _whole_sets(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = common.value
         for batch in batches:
-            sets = [s for _, s in _sets(batch, n)]
+            size, sig, prefix = [], [], []
+            for _, s in _sets(batch, n):
+                size.append(len(s))
+                sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                if len(s) and len(last):
+                    late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+                    s = np.concatenate([s[~late], s[late]]) if late.any() else s
+                prefix.append(s[: prefix_length(len(s), percent)].tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["doc_id", "n", "names"],
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary())],
+                ["doc_id", "n", "sig", "prefix"],
             )
 
     return run
 
 
-def _ordered_prefixes(percent: int, common) -> Callable:
-    """Prefix rows under the order (common last, value)."""
+def _first_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw, offsets = row_bytes(batch.column("prefix"))
+        times = np.diff(offsets) // 8
+        ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), times)
+        size = np.repeat(batch.column("n").to_numpy(zero_copy_only=False).astype(np.int32), times)
+        yield from _slices([np.frombuffer(raw.tobytes(), np.int64), ids, size], ["name", "doc_id", "n"])
+
+
+def _fragments(n: int) -> Callable:
+    """One row for each document and fragment of the global order that its set reaches."""
+    shift = np.uint64(64 - FRAGMENTS.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = common.value
         for batch in batches:
-            raw, offsets = row_bytes(batch.column("names"))
-            names, border = np.frombuffer(raw.tobytes(), np.uint64), offsets // 8
-            is_last = np.zeros(len(names), bool)
-            if len(last):
-                at = np.minimum(np.searchsorted(last, names), len(last) - 1)
-                is_last = last[at] == names
-            out, place = [], []
-            size = np.diff(border)
-            for i, k in enumerate(size):
-                own, late = names[border[i] : border[i + 1]], is_last[border[i] : border[i + 1]]
-                p = prefix_length(int(k), percent)
-                out.append(np.concatenate([own[~late], own[late]])[:p] if late.any() else own[:p])
-                place.append(np.arange(len(out[-1]), dtype=np.int32))
-            if not out:
-                continue
-            times = [len(x) for x in out]
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            yield from _slices(
-                [signed(np.concatenate(out)), np.repeat(ids, times), np.repeat(size.astype(np.int32), times), np.concatenate(place)],
-                ["name", "doc_id", "n", "at"],
+            doc, part, seg = [], [], []
+            for i, own in _sets(batch, n):
+                cut = np.searchsorted(own >> shift, np.arange(FRAGMENTS + 1))
+                for v in range(FRAGMENTS):
+                    if cut[v] < cut[v + 1]:
+                        doc.append(ids[i])
+                        part.append(v)
+                        seg.append(own[cut[v] : cut[v + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(seg, pa.binary())], ["doc_id", "part", "seg"]
             )
 
     return run
 
 
-def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document and fragment of the global order."""
-    shift = np.uint64(64 - FRAGMENTS.bit_length() + 1)
-    for batch in batches:
-        raw, offsets = row_bytes(batch.column("names"))
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        doc, part, seg = [], [], []
-        for i in range(len(ids)):
-            own = np.frombuffer(raw[offsets[i] : offsets[i + 1]].tobytes(), np.uint64)
-            cut = np.searchsorted(own >> shift, np.arange(FRAGMENTS + 1))
-            for v in range(FRAGMENTS):
-                if cut[v] < cut[v + 1]:
-                    doc.append(ids[i])
-                    part.append(v)
-                    seg.append(own[cut[v] : cut[v + 1]].tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(seg, pa.binary())], ["doc_id", "part", "seg"]
-        )
-
-
 def _partial_overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         (ra, oa), (rb, ob) = row_bytes(batch.column("seg_a")), row_bytes(batch.column("seg_b"))
@@ -178,42 +161,31 @@ def _partial_overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 class _Join:
     """One run of the operator; sets up the tables that the stages share."""
 
-    def __init__(self, spark: SparkSession, percent: int) -> None:
-        self.spark, self.percent = spark, percent
-        self.scratch = Scratch(spark, "ngram")
+    def __init__(self, docs: DataFrame, n: int, percent: int) -> None:
+        self.docs, self.n, self.percent = docs, n, percent
+        self.spark = docs.sparkSession
+        self.scratch = Scratch(self.spark, "ngram")
 
     def needed(self, a: str, b: str) -> str:
         """SQL: the overlap that sets of sizes a and b need: 100 I >= p (a + b - I)."""
         p = self.percent
         return f"div({p} * ({a} + {b}) + {99 + p}, {100 + p})"
 
-    def settle_order(self, sets: DataFrame, common: np.ndarray, limit: int) -> DataFrame:
-        """Prefix rows of every set, under an order in which common names come last."""
-        for k in range(ORDER_ROUNDS):
-            shared = self.spark.sparkContext.broadcast(common)
-            dealt = self.scratch.cut(
-                sets.mapInArrow(_ordered_prefixes(self.percent, shared), "name long, doc_id long, n int, at int")
-            )
-            if k == ORDER_ROUNDS - 1:
-                break
-            more = dealt.groupBy("name").agg(F.count("*").alias("c")).where(F.col("c") > limit).select("name")
-            found = np.asarray(more.toArrow().column(0).to_numpy(), np.int64).view(np.uint64)
-            grown = np.union1d(common, found)
-            if len(grown) == len(common):
-                break
-            common = grown
-            self.scratch.drop(dealt)
-        c = dealt.groupBy("name").agg(F.count("*").cast("int").alias("c")).where("c > 1")
-        out = self.scratch.cut(dealt.join(c, "name"))
-        self.scratch.drop(dealt)
-        return out
-
-    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def common_names(self) -> np.ndarray:
+        """The names that come last, sorted; COMMON_NAMES at most."""
+        counts = self.docs.mapInArrow(_repeated_names(self.n), "name long, c long").groupBy("name").agg(F.sum("c").alias("c"))
+        counts = self.scratch.cut(counts.where(F.col("c") > COMMON))
+        total = counts.agg(F.sum("c")).first()[0] or 0
+        often = counts.where(F.col("c") > max(COMMON, total // COMMON_NAMES)).select("name").toArrow().column(0).to_numpy()
+        self.scratch.drop(counts)
+        return np.sort(np.asarray(often, np.int64).view(np.uint64))
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs a, b (sizes na, nb) that reach the threshold: partial overlaps summed over fragments."""
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        parts = self.scratch.cut(
-            sets.join(ids, "doc_id", "left_semi").mapInArrow(_fragments, "doc_id long, part int, seg binary"), "none"
-        )
+        ids = self.scratch.cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+        some = F.broadcast(ids) if ids.count() <= LOOKUP else ids
+        texts = self.docs.join(some, "doc_id", "left_semi")
+        parts = self.scratch.cut(texts.mapInArrow(_fragments(self.n), "doc_id long, part int, seg binary").dropDuplicates(["doc_id", "part"]), "none")
         left = parts.select(F.col("doc_id").alias("a"), "part", F.col("seg").alias("seg_a"))
         right = parts.select(F.col("doc_id").alias("b"), "part", F.col("seg").alias("seg_b"))
         overlaps = (
@@ -225,7 +197,7 @@ class _Join:
         found = self.scratch.cut(
             pairs.join(overlaps, ["a", "b"]).where(f"common >= {self.needed('na', 'nb')}").select("a", "b")
         )
-        self.scratch.drop(parts)
+        self.scratch.drop(parts, ids)
         return found
 
     def labelled(self, dealt: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -282,7 +254,7 @@ class _Join:
             .select("a", "b", "na", "nb")
         )
 
-    def components(self, dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    def components(self, dealt: DataFrame) -> DataFrame:
         labels = None
         for k in range(STAR_ROUNDS + 1):
             live, rows, cross = self.open_groups(dealt, labels)
@@ -290,7 +262,7 @@ class _Join:
                 break
             last = k == STAR_ROUNDS or k > 0 and cross <= COMMON * rows
             pairs = self.scratch.cut(self.all_pairs(live) if last else self.star_pairs(live, k))
-            links = self.verify(pairs, sets)
+            links = self.verify(pairs)
             if labels is not None:  # what is known is a star for each component
                 links = links.union(labels.where("node <> component"))
             labels = self.scratch.cut(connected_components(links, self.scratch))
@@ -310,23 +282,19 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
         raise ValueError("n must be 1 at least and percent between 50 and 100")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    run = _Join(spark, percent)
+    run = _Join(docs, n, percent)
     cut = run.scratch.cut
-    summary = cut(docs.mapInArrow(_summaries(n, percent), "doc_id long, n long, sig binary, prefix binary"))
+    common = spark.sparkContext.broadcast(run.common_names())
+    summary = cut(docs.mapInArrow(_summaries(n, percent, common), "doc_id long, n long, sig binary, prefix binary"))
     classes = summary.where("doc_id is not null and n > 0").groupBy("sig").agg(
-        F.min("doc_id").alias("head"), F.min_by("prefix", "doc_id").alias("prefix")
+        F.min("doc_id").alias("head"), F.min_by(F.struct("n", "prefix"), "doc_id").alias("p")
     )
-    first = cut(classes.select(F.col("head").alias("doc_id"), "prefix").mapInArrow(_first_names, "name long, doc_id long"))
-    counts = cut(first.groupBy("name").agg(F.count("*").alias("c")).where("c > 1"))
-    limit = max(COMMON, first.count() // COMMON_NAMES)
-    common = counts.where(F.col("c") > limit).select("name").toArrow().column(0).to_numpy()
-    common = np.sort(np.asarray(common, np.int64).view(np.uint64))
-    some = first.join(counts.select("name"), "name", "left_semi").select("doc_id").distinct()
-    sets = cut(docs.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_whole_sets(n), "doc_id long, n int, names binary"), "none")
-    run.scratch.drop(first, counts)
-    dealt = run.settle_order(sets, common, limit)
-    labels = run.components(dealt, sets)
-    run.scratch.drop(dealt, sets)
+    first = cut(classes.select(F.col("head").alias("doc_id"), "p.n", "p.prefix").mapInArrow(_first_names, "name long, doc_id long, n int"))
+    shared = first.groupBy("name").agg(F.count("*").cast("int").alias("c")).where("c > 1")
+    dealt = cut(first.join(shared, "name"))
+    run.scratch.drop(first)
+    labels = run.components(dealt)
+    run.scratch.drop(dealt)
     return (
         summary.select("doc_id", F.col("n").alias("n_shingles"), "sig")
         .join(classes.select("sig", "head"), "sig", "left")
