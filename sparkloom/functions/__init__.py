@@ -1 +1 @@
-
+"""Column helpers: dates, tokens, codecs."""

@@ -1 +1 @@
-
+"""Composable DataFrame operators."""
