@@ -11,6 +11,7 @@ from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def encode_int(value: int) -> bytes:
@@ -56,12 +57,12 @@ def decode_postings(data: bytes) -> tuple[list[int], list[int]]:
     return ids, flat[1::2]
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encoded(ids: pd.Series, counts: pd.Series) -> pd.Series:
     """Arrow-batched ``encode_postings`` of two array columns."""
     return pd.Series([encode_postings(map(int, a), map(int, b)) for a, b in zip(ids, counts, strict=True)])
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def decoded_ids(data: pd.Series) -> pd.Series:
     return pd.Series([decode_postings(bytes(x))[0] for x in data])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from sparkloom.plans.primitives import PRIMITIVES
 from sparkloom.plans.programs import BASE
 
-ALL = dict(BASE)
+ALL = BASE | PRIMITIVES
 
 
 def queries() -> dict:

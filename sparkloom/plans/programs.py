@@ -182,8 +182,8 @@ round(avg(l_quantity), 6) AS avg_qty, round(avg(l_extendedprice), 6) AS avg_pric
 FROM lineitem WHERE strftime(l_shipdate, '%Y-%m') = '{MONTH}' GROUP BY ALL""",
     ),
     "q7": (
-        lambda s, d: _rounded(relational.q7(*_t(s, d, "lineitem", "orders", "customer"), DATE), revenue=2),
-        f"""SELECT c_name, o_orderkey AS orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,
+        lambda s, d: _rounded(relational.q7(*_t(s, d, "lineitem", "orders", "customer"), DATE), revenue=4),
+        f"""SELECT c_name, o_orderkey AS orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate,
 o_orderpriority AS payload FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 WHERE strftime(l_shipdate, '%Y-%m-%d') > '{DATE}' AND strftime(o_orderdate, '%Y-%m-%d') > '{DATE}' GROUP BY ALL ORDER BY sum(l_extendedprice * (1 - l_discount)) DESC, 2 LIMIT 10""",
     ),

@@ -12,36 +12,34 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUT = "window_end timestamp, key string, current bigint, previous bigint"
 
 
-def trending_stream(df: DataFrame, ts: str, key: str, minutes: int = 10, late: str = "0 seconds") -> DataFrame:
+def trending_stream(df: DataFrame, ts: str, key: str, minutes: int = 10) -> DataFrame:
     """window_end, key, current, previous: a row for each key and finished window, empty ones included.
 
-    Counts of windows reach the state when the watermark has passed them; the
-    state of a key is its last window and count, and gaps are filled with zeros.
+    A window of a key is finished when an event of a later one has come; events
+    of finished windows are late and dropped.  The state of a key is its open
+    window, the count so far and the count before; gaps are filled with zeros.
     """
     step = minutes * 60
-    timed = df.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
-    counts = (
-        timed.groupBy(F.window("_ts", f"{minutes} minutes").alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("count"))
-        .select("key", F.unix_timestamp(F.col("w.end")).alias("end"), "count")
-    )
+    events = df.select(F.col(key).alias("key"), F.unix_timestamp(F.window(F.col(ts).cast("timestamp"), f"{minutes} minutes").end).alias("end"))
 
     def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, before = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(parts)).sort_values("end")
+        ends = pd.concat([p["end"] for p in parts]).value_counts().sort_index()
+        last, count, before = state.get if state.exists else (int(ends.index[0]), 0, 0)
         out = []
-        for end, count in zip(rows["end"], rows["count"], strict=True):
-            if last is not None:
-                for gap in range(last + step, int(end), step):
-                    out.append((gap, 0, before))
-                    before = 0
-            out.append((int(end), int(count), before))
-            last, before = int(end), int(count)
-        state.update((last, before))
+        for end, n in ends.items():
+            if end < last:
+                continue
+            while last < end:
+                out.append((last, count, before))
+                last, count, before = last + step, 0, count
+            count += int(n)
+        state.update((last, count, before))
         yield pd.DataFrame(
             {"window_end": pd.to_datetime([o[0] for o in out], unit="s"), "key": k[0], "current": [o[1] for o in out], "previous": [o[2] for o in out]}
         )
 
-    return counts.groupBy("key").applyInPandasWithState(update, OUT, "last bigint, before bigint", "append", GroupStateTimeout.NoTimeout)
+    schema = "last bigint, count bigint, before bigint"
+    return events.groupBy("key").applyInPandasWithState(update, OUT, schema, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None, timeout: int = 120) -> DataFrame:
