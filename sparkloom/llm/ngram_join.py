@@ -15,8 +15,7 @@ partial counts are summed per pair.
    out; whole sets are made again for documents of pairs under verification.
 3. Dense groups are linked as stars first: in every group of documents that
    share a name, each is verified against one hub; documents that are connected
-   already need no further comparison.  Rounds with other hubs go on while many
-   pairs of different components are left in one group.
+   already need no further comparison.
 4. What is left is complete: every pair of documents of different components
    that share a name within the prefix is enumerated, filtered by size,
    position and shared prefix names, and verified.  So components are exact.
@@ -52,7 +51,7 @@ LOOKUP = 500_000
 FRAGMENTS = 8
 #: Documents of one group that one star holds.
 STAR = 4096
-STAR_ROUNDS = 8
+STAR_ROUNDS = 1
 
 
 def prefix_length(n, percent: int):
@@ -98,17 +97,17 @@ def _summaries(n: int, percent: int, common) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = common.value
         for batch in batches:
-            size, sig, prefix = [], [], []
+            size, sig, prefix, rare = [], [], [], []
             for _, s in _sets(batch, n):
                 size.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                if len(s) and len(last):
-                    late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                    s = np.concatenate([s[~late], s[late]]) if late.any() else s
-                prefix.append(s[: prefix_length(len(s), percent)].tobytes() if len(s) else b"")
+                p = prefix_length(len(s), percent) if len(s) else 0
+                late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
+                rare.append(min(p, len(s) - int(late.sum())))
+                prefix.append(np.concatenate([s[~late], s[late]])[:p].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary())],
-                ["doc_id", "n", "sig", "prefix"],
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary()), pa.array(rare, pa.int32())],
+                ["doc_id", "n", "sig", "prefix", "rare"],
             )
 
     return run
@@ -120,7 +119,9 @@ def _first_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = np.diff(offsets) // 8
         ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), times)
         size = np.repeat(batch.column("n").to_numpy(zero_copy_only=False).astype(np.int32), times)
-        yield from _slices([np.frombuffer(raw.tobytes(), np.int64), ids, size], ["name", "doc_id", "n"])
+        rare = np.repeat(batch.column("rare").to_numpy(zero_copy_only=False), times)
+        at = (np.arange(len(ids)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
+        yield from _slices([np.frombuffer(raw.tobytes(), np.int64), ids, size, at, rare], ["name", "doc_id", "n", "at", "rare"])
 
 
 def _fragments(n: int) -> Callable:
@@ -218,11 +219,13 @@ class _Join:
         return live, int(total[0] or 0), int(total[1] or 0)
 
     def star_pairs(self, live: DataFrame, k: int) -> DataFrame:
-        """Each document with the first one, in a random order of components, of the groups it is in; one partner each."""
+        """Each document with the hub of the groups it is in; one partner each."""
         salt = F.pmod(F.xxhash64("doc_id", "name", F.lit(k)), F.ceil(F.col("c") / STAR)).alias("salt")
-        w = Window.partitionBy("name", "salt").orderBy(F.xxhash64("comp", F.lit(k)), F.xxhash64("doc_id", F.lit(k)))
+        # First comes the set with the fewest rare names: what near copies are copies of, or close to it.
+        order = [F.col("rare") / F.col("n"), F.col("doc_id")] if k == 0 else [F.xxhash64("comp", F.lit(k)), F.col("rare") / F.col("n"), F.col("doc_id")]
+        w = Window.partitionBy("name", "salt").orderBy(*order)
         hub = F.first(F.struct("doc_id", "n", "comp")).over(w)
-        met = live.select("name", "doc_id", "n", "c", "comp", salt).select("doc_id", "n", "comp", hub.alias("p"))
+        met = live.select("name", "doc_id", "n", "rare", "c", "comp", salt).select("doc_id", "n", "comp", hub.alias("p"))
         met = met.where("p.comp <> comp").select(
             F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("p.doc_id").alias("y"), F.col("p.n").alias("ny")
         )
@@ -239,19 +242,27 @@ class _Join:
         ).distinct()
 
     def all_pairs(self, live: DataFrame) -> DataFrame:
-        """Every pair of different components that may reach the threshold."""
-        p = self.percent
-        a = live.select("name", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        b = live.select("name", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        need = self.needed("na", "nb")
-        met = a.join(b, "name").where(f"a < b and ca <> cb and {need} <= least(na, nb)")
-        # The set whose prefix ends first in the order lacks at most n - need
-        # names, so the prefixes share all but as many of its own.
-        left = lambda n: f"{n} - div({p} * {n} + 99, 100) + 1 - ({n} - {need})"
-        return (
-            met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("k"))
-            .where(f"k >= least({left('na')}, {left('nb')})")
-            .select("a", "b", "na", "nb")
+        """Every pair of different components that may reach the threshold.
+
+        A set lacks at most n - need names of the other.  So the first shared
+        name of a linked pair stands at n - need or before in both, and common
+        names count only there: a set with more rare names than that never
+        meets others by what all have.  Of the rare names in both prefixes, the
+        set whose part ends first in the order lacks no more either.
+        """
+        a = live.select("name", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n", "at", "rare", "comp")])
+        b = live.select("name", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "at", "rare", "comp")])
+        need = self.needed("n_a", "n_b")
+        early = f"at_a <= n_a - {need} and at_b <= n_b - {need}"
+        met = a.join(b, "name").where(
+            f"doc_id_a < doc_id_b and comp_a <> comp_b and {need} <= least(n_a, n_b) and (at_a < rare_a or {early})"
+        )
+        pairs = met.groupBy(*[f"{c}_{s}" for s in "ab" for c in ("doc_id", "n", "rare")]).agg(
+            F.count_if(F.expr(early)).alias("early"), F.count_if(F.expr("at_a < rare_a")).alias("rare"), F.count_if(F.expr("at_a >= rare_a")).alias("common")
+        )
+        enough = f"rare >= least(rare_a - n_a, rare_b - n_b) + {need}"
+        return pairs.where(f"early > 0 and (common > 0 or {enough})").select(
+            F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")
         )
 
     def components(self, dealt: DataFrame) -> DataFrame:
@@ -260,7 +271,7 @@ class _Join:
             live, rows, cross = self.open_groups(dealt, labels)
             if rows == 0:
                 break
-            last = k == STAR_ROUNDS or k > 0 and cross <= COMMON * rows
+            last = k == STAR_ROUNDS or k > 0 and cross <= rows
             pairs = self.scratch.cut(self.all_pairs(live) if last else self.star_pairs(live, k))
             links = self.verify(pairs)
             if labels is not None:  # what is known is a star for each component
@@ -285,11 +296,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     run = _Join(docs, n, percent)
     cut = run.scratch.cut
     common = spark.sparkContext.broadcast(run.common_names())
-    summary = cut(docs.mapInArrow(_summaries(n, percent, common), "doc_id long, n long, sig binary, prefix binary"))
+    summary = cut(docs.mapInArrow(_summaries(n, percent, common), "doc_id long, n long, sig binary, prefix binary, rare int"))
     classes = summary.where("doc_id is not null and n > 0").groupBy("sig").agg(
-        F.min("doc_id").alias("head"), F.min_by(F.struct("n", "prefix"), "doc_id").alias("p")
+        F.min("doc_id").alias("head"), F.min_by(F.struct("n", "prefix", "rare"), "doc_id").alias("p")
     )
-    first = cut(classes.select(F.col("head").alias("doc_id"), "p.n", "p.prefix").mapInArrow(_first_names, "name long, doc_id long, n int"))
+    first = cut(classes.select(F.col("head").alias("doc_id"), "p.n", "p.prefix", "p.rare").mapInArrow(_first_names, "name long, doc_id long, n int, at int, rare int"))
     shared = first.groupBy("name").agg(F.count("*").cast("int").alias("c")).where("c > 1")
     dealt = cut(first.join(shared, "name"))
     run.scratch.drop(first)
