@@ -13,8 +13,9 @@ than ``min_words`` words, or less than ``min_kept`` of its words, are left.
 
 Only DataFrame and SQL functions are used.  What is shuffled are line hashes,
 pre-aggregated per host, line and text; texts stay in their scan task.  The
-frequent lines are joined back with a salted key, so a line in a third of all
-documents is spread over tasks.
+frequent lines are broadcast where a count shows that they are few, and joined
+back with a salted key otherwise, so a line in a third of all documents is
+spread over tasks.
 
 Null and empty texts have no words and fail the base rule.  A null host is a
 host of its own.  Rows without doc_id or repeating one are judged each by
@@ -27,10 +28,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm.scratch import Scratch
+
 #: Words are runs of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 SALTS = 16
+#: Frequent lines that are broadcast, after a count (16 bytes each and the host); more are joined with a salted key.
+LOOKUP = 100_000
 
 
 def word_count(text: str | Column = "text") -> Column:
@@ -74,34 +79,40 @@ def base_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def _lines(slim: DataFrame) -> DataFrame:
-    """host, line (name of the normalised line), t (name of the text), n: words of the line in the text."""
-    line = F.explode(F.split("text", "\n")).alias("line")
-    rows = slim.select("host", "t", line).where(F.regexp_like("line", F.lit(WORD)))
-    norm = F.lower(F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " ")))
-    rows = rows.select("host", "t", F.xxhash64(norm).alias("line"), word_count("line").alias("n"))
-    return rows.groupBy("host", "line", "t").agg(F.sum("n").alias("n"), F.count("*").alias("times"))
+def host_key(host: str) -> Column:
+    """A text that is equal for equal hosts, null included."""
+    return F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("n"))
 
 
 def _slim(docs: DataFrame, host: str) -> DataFrame:
-    return docs.select(F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    """host (key), text, t (name of the text); rows without text are left out."""
+    text = F.col("text").cast("string")
+    return docs.select(host_key(host).alias("host"), text.alias("text"), F.xxhash64(text).alias("t")).where("text is not null")
+
+
+def _lines(slim: DataFrame) -> DataFrame:
+    """host, t, line (name of the normalised line), n: its words; one row for each line with a word."""
+    rows = slim.select("host", "t", F.explode(F.split("text", "\n")).alias("line")).where(F.regexp_like("line", F.lit(WORD)))
+    norm = F.lower(F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " ")))
+    return rows.select("host", "t", F.xxhash64(norm).alias("line"), word_count("line").alias("n"))
 
 
 def boilerplate_words(docs: DataFrame, host: str = "source", min_docs: int = 50, max_share: float = 0.05) -> DataFrame:
-    """host, t (xxhash64 of the text), n_boilerplate: words in lines above the host's limit; other texts have no row."""
+    """host (key), t (xxhash64 of the text), n_boilerplate: words in lines above the host's limit; other texts have no row."""
     slim = _slim(docs, host)
-    # Copies of a text on a host add to n and times alike.
+    copies = slim.groupBy("host", "t").agg(F.count("*").alias("copies"))
+    texts = copies.groupBy("host").agg(F.count("*").alias("texts"))
+    held = _lines(slim).select("host", "line", "t").distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
+    many = held.where(F.col("docs") > min_docs).join(texts, "host").where(F.col("docs") > max_share * F.col("texts")).select("host", "line")
+    many = Scratch(docs.sparkSession, "quality").cut(many)
     lines = _lines(slim)
-    texts = slim.where("text is not null").select("host", "t").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    many = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
-    many = many.join(texts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(
-        F.col("docs") > max_share * F.col("texts")
-    )
-    salted = many.select(F.xxhash64("host", F.coalesce(F.col("host"), F.lit("-")), "line").alias("k"), "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    lines = lines.select(
-        "host", "t", "line", "n", F.xxhash64("host", F.coalesce(F.col("host"), F.lit("-")), "line").alias("k"), F.pmod("t", F.lit(SALTS)).cast("int").alias("salt")
-    )
-    return lines.join(salted, ["k", "line", "salt"]).groupBy("host", "t").agg(F.sum("n").alias("n_boilerplate"))
+    if many.count() <= LOOKUP:
+        met = lines.join(F.broadcast(many), ["host", "line"])
+    else:
+        salted = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = lines.withColumn("salt", F.pmod("t", F.lit(SALTS)).cast("int")).join(salted, ["host", "line", "salt"])
+    # All copies of a text on a host have added the same.
+    return met.groupBy("host", "t").agg(F.sum("n").alias("n")).join(copies, ["host", "t"]).select("host", "t", F.expr("n div copies").alias("n_boilerplate"))
 
 
 BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
@@ -115,7 +126,7 @@ def quality_rules(
     docs: DataFrame, host: str = "source", min_docs: int = 50, max_share: float = 0.05, min_words: int = 10, min_kept: float = 0.2
 ) -> DataFrame:
     """doc_id, the base counts, n_boilerplate, base_failed and kept of every row of ``docs``."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("host"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), host_key(host).alias("host"))
     counts = base_counts(rows).withColumn("t", F.xxhash64("text")).drop("text")
     found = boilerplate_words(docs, host, min_docs, max_share)
     return _with_boilerplate(counts, found, min_words, min_kept).drop("host", "t")
@@ -123,7 +134,7 @@ def quality_rules(
 
 def _with_boilerplate(counts: DataFrame, found: DataFrame, min_words: int, min_kept: float) -> DataFrame:
     found = found.select(F.col("host").alias("b_host"), F.col("t").alias("b_t"), "n_boilerplate")
-    out = counts.join(found, (F.col("t") == F.col("b_t")) & F.col("host").eqNullSafe(F.col("b_host")), "left").drop("b_host", "b_t")
+    out = counts.join(found, (F.col("t") == F.col("b_t")) & (F.col("host") == F.col("b_host")), "left").drop("b_host", "b_t")
     return (
         out.withColumn("n_boilerplate", F.coalesce("n_boilerplate", F.lit(0)).cast("long"))
         .withColumn("base_failed", F.expr(BASE_FAILED))
@@ -138,18 +149,17 @@ def quality_filter(
 
     The base rule is a filter of the scan; only names of depleted texts are joined.
     """
-    texts = _slim(docs, host).where("text is not null").groupBy("host", "t").agg(F.first(word_count("text")).alias("n_words"))
+    texts = _slim(docs, host).groupBy("host", "t").agg(F.first(word_count("text")).alias("n_words"))
     bad = (
         boilerplate_words(docs, host, min_docs, max_share)
-        .withColumnRenamed("host", "b_host").withColumnRenamed("t", "b_t")
-        .join(texts, (F.col("t") == F.col("b_t")) & F.col("host").eqNullSafe(F.col("b_host")))
+        .join(texts, ["host", "t"])
         .where(depleted(min_words, min_kept))
-        .select("b_host", "b_t")
+        .select(F.col("host").alias("b_host"), F.col("t").alias("b_t"))
     )
     # Columns of docs that have the names of the counts must not clash with them.
     part = docs.select(F.struct(*docs.columns).alias("d"), F.col("text").cast("string").alias("text"))
     good = base_counts(part).where(f"not ({BASE_FAILED})").select("d.*")
-    return good.join(bad, (F.xxhash64(F.col("text").cast("string")) == F.col("b_t")) & F.col(host).cast("string").eqNullSafe(F.col("b_host")), "left_anti")
+    return good.join(bad, (F.xxhash64(F.col("text").cast("string")) == F.col("b_t")) & (host_key(host) == F.col("b_host")), "left_anti")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,8 +39,10 @@ def test_base_counts(table, texts):
 def test_boilerplate(table):
     line, own = "all rights are reserved by us and so on every day", "unique words of this very document number {} are a few more"
     rows = [(i, f"{line}\n{own.format(i)} {i} {i + 1}", "a") for i in range(8)] + [(20, f"{line}\nshort", "a"), (21, line, "b"), (22, line, None), (23, line, "a")]
+    rows += [(50 + i, f"{line}\n{own.format('copied')} and more", "a") for i in range(4)]
     rows += [(30 + i, f"copied text of some ten or more words in it\n{line}", "c") for i in range(9)]
     got = {r.doc_id: r for r in quality_rules(table(rows), min_docs=5, max_share=0.1).collect()}
+    assert all(got[50 + i].kept and got[50 + i].n_boilerplate == 11 for i in range(4))
     assert all(got[i].kept and got[i].n_boilerplate == 11 for i in range(8))
     assert not got[20].kept and not got[23].kept and got[21].kept and got[22].kept
     assert all(got[30 + i].n_boilerplate == 0 for i in range(9))  # copies count once
