@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from sparkloom.llm.decontamination import decontaminate
-from sparkloom.llm.line_dedup import block_plan, duplicate_lines, line_dedup
+from sparkloom.llm.line_dedup import block_plan, duplicate_lines, line_dedup, line_simhashes
 from sparkloom.llm.pii import KINDS, pseudonymize
 from sparkloom.llm.quality import quality_filter, quality_rules
 from sparkloom.llm.url_filter import url_filter, url_host
@@ -110,6 +110,20 @@ def test_line_dedup_edges(table):
     assert line_dedup(table(rows)).columns[:-1] == table(rows).columns
 
 
+def test_line_dedup_long_lines(table):
+    """All pairs count at any length, and a line of one pair value is a node like others."""
+    import random
+
+    r = random.Random(5)
+    words = ["".join(r.choices("abcd", k=2)) for _ in range(30_000)]
+    line, longer, same = " ".join(words), " ".join([*words, "ab"]), " ".join(["x"] * 60_000)
+    rows = [(1, line), (2, longer), (3, same), (4, f"some\n{same}"), (5, " ".join(["yz"] * 60_000)), (6, " ".join(["yz"] * 60_000))]
+    got = {x.no + 10 * x.doc_id: x.sim % 2**64 for x in line_simhashes(table(rows), 5).collect()}
+    assert got == {10: simhash(line), 20: simhash(longer), 30: simhash(same), 41: simhash(same), 50: simhash(rows[4][1]), 60: simhash(rows[4][1])}
+    assert (simhash(line) ^ simhash(longer)).bit_count() <= 3  # so the two are compared
+    assert {x.doc_id: x.nos for x in duplicate_lines(table(rows[2:])).collect()} == {4: [1], 6: [0]}
+
+
 @pytest.mark.parametrize("nodes", [0, 1, 5000, 2_000_000, 10**10])
 def test_block_plan(nodes):
     """Any three differing bits leave all blocks of some table untouched."""
