@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from sparkloom.llm.decontamination import decontaminate
-from sparkloom.llm.line_dedup import block_plan, duplicate_lines, line_dedup, line_simhashes
+from sparkloom.llm.line_dedup import SKETCH, block_plan, duplicate_lines, line_dedup, line_simhashes
 from sparkloom.llm.pii import KINDS, pseudonymize
 from sparkloom.llm.quality import quality_filter, quality_rules
 from sparkloom.llm.url_filter import url_filter, url_host
@@ -110,6 +110,35 @@ def test_line_dedup_edges(table):
     assert line_dedup(table(rows)).columns[:-1] == table(rows).columns
 
 
+def test_line_dedup_recall(table):
+    """Lines with edits within similarity 0.9, found without a look at their SimHashes."""
+    import random
+
+    r = random.Random(8)
+    vocab = ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(3000)]
+    rows, similar = [], 0
+    for i in range(300):
+        words = r.choices(vocab, k=r.choice([6, 9, 12, 20, 40, 90]))
+        line = list(" ".join(words))
+        if i % 2:  # one word is another one
+            words[r.randrange(len(words))] = "xyz"
+            other = " ".join(words)
+        else:  # letters all over the line
+            for _ in range(r.randint(1, len(line) // 12)):
+                line[r.randrange(len(line))] = r.choice("klmn")
+            other = "".join(line)
+            line = " ".join(words)
+        line = "".join(line)
+        most = max(len(line), len(other))
+        if distance(line, other) <= 0.1 * most:
+            rows += [(2 * i, line), (2 * i + 1, other)]
+            similar += 1
+    got = {x.doc_id for x in duplicate_lines(table(rows), sketch=SKETCH).collect()}
+    assert all(i % 2 for i in got) and similar > 200
+    assert len(got) >= 0.97 * similar
+    assert sum(x._n_removed_lines for x in line_dedup(table(rows)).collect()) == len(got)
+
+
 def test_line_dedup_long_lines(table):
     """All pairs count at any length, and a line of one pair value is a node like others."""
     import random
