@@ -225,7 +225,7 @@ PRIMITIVES = {
         lambda s, d: retrieval.term_frequencies(_docs(s, d)).repartition(4, "term").sortWithinPartitions("term", "doc_id"),
         f"WITH {TF} SELECT term, doc_id, tf FROM tf",
     ),
-    "srt6": (lambda s, d: classify.train_sgd(samples(s, d), "doc_id", shuffle_seed=7), None),
+    "srt6": (lambda s, d: classify.train_sgd(samples(s, d, None), "doc_id", shuffle_seed=7), None),
     "srt7": BASE["q5"],
     # sets
     "set1": (

@@ -56,11 +56,12 @@ def event_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), edges
 
 
-def samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents; features are the first 40 words, repeats counted."""
+def samples(spark: SparkSession, sf: str, words: int | None = 40) -> DataFrame:
+    """Labelled documents; features are the first ``words`` words, or all where that is None, repeats counted."""
     docs, labels = _t(spark, sf, "documents", "labels")
     label = F.when(F.col("toxic") == 1, "spam").otherwise("ham").alias("label")
-    return docs.join(labels, "doc_id").select("doc_id", label, F.slice(tokens("text"), 1, 40).alias("features"))
+    features = tokens("text") if words is None else F.slice(tokens("text"), 1, words)
+    return docs.join(labels, "doc_id").select("doc_id", label, features.alias("features"))
 
 
 def fold_models(rows: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ FROM lineitem WHERE strftime(l_shipdate, '%Y-%m') = '{MONTH}' GROUP BY ALL""",
 o_orderpriority AS payload FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 WHERE strftime(l_shipdate, '%Y-%m-%d') > '{DATE}' AND strftime(o_orderdate, '%Y-%m-%d') > '{DATE}' GROUP BY ALL ORDER BY sum(l_extendedprice * (1 - l_discount)) DESC, 2 LIMIT 10""",
     ),
-    "c1": (lambda s, d: classify.train_sgd(samples(s, d), "doc_id"), None),
+    "c1": (lambda s, d: classify.train_sgd(samples(s, d, None), "doc_id"), None),
     "c2": (
         lambda s, d: _rounded(classify.apply_classifier(r := samples(s, d), classify.batch_weights(r)), score=9),
         f"""WITH {SAMPLES}, w AS (SELECT feature, sum(CASE WHEN label = 'spam' THEN 0.5::DOUBLE ELSE -0.5 END) * 0.002 AS weight FROM occ GROUP BY feature),

@@ -11,6 +11,7 @@ from sparkloom.functions.codec import decode_ints, decode_postings, encode_int,
 from sparkloom.functions.dates import date_after, date_prefix
 from sparkloom.functions.text import lines, snippet, tokens
 from sparkloom.operators import classify, graph, relational, retrieval, words
+from sparkloom.plans import catalog
 from sparkloom.sources import sinks, tables
 from sparkloom.streaming import trends, windows
 
@@ -137,6 +138,15 @@ def test_sgd(spark):
     assert set(dict(rows(classify.train_sgd(samples(spark), "doc_id", shuffle_seed=3)))) == {1, 2, 3}
 
 
+@pytest.mark.parametrize("name", ["c1", "agg15", "srt6"])
+def test_training_sees_whole_texts(spark, tmp_path, name):
+    text = " ".join(["plain"] * 60 + ["late"])
+    frame(spark, [(1, text)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    frame(spark, [(1, 1)], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = dict(rows(catalog.ALL[name][0](spark, str(tmp_path))))
+    assert math.isclose(got["late"], 0.001) and math.isclose(got["plain"], 0.06)
+
+
 def test_classifier_and_ensemble(spark):
     one = frame(spark, [("d", "spam", [1])], "doc_id string, label string, features array<int>")
     models = frame(spark, [(0, 1, 0.4), (1, 1, -0.1), (2, 1, -0.1)], "model int, feature int, weight double")
