@@ -3,8 +3,9 @@
 Base rules: word and symbol counts, repeated lines and repeated 5-word windows
 inside a document.  Cross-document rule: normalised lines are hashed, and for
 each host the distinct document texts that hold a line are counted; lines above
-the limit are boilerplate of the host and are removed; a document that keeps
-too few of its words is depleted and rejected.
+the limit are boilerplate of the host.  ``quality_filter`` removes them from the
+texts; ``quality_rules`` counts their words.  A document that keeps too few of
+its words is depleted and rejected.
 
 Exact copies of one text count once for a line, so a text is not boilerplate
 for having been copied.  The limit is the larger of ``min_docs`` and
@@ -93,18 +94,27 @@ def _slim(docs: DataFrame, host: str) -> DataFrame:
 def _lines(slim: DataFrame) -> DataFrame:
     """host, t, line (name of the normalised line), n: its words; one row for each line with a word."""
     rows = slim.select("host", "t", F.explode(F.split("text", "\n")).alias("line")).where(F.regexp_like("line", F.lit(WORD)))
-    norm = F.lower(F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " ")))
-    return rows.select("host", "t", F.xxhash64(norm).alias("line"), word_count("line").alias("n"))
+    return rows.select("host", "t", F.xxhash64(_norm("line")).alias("line"), word_count("line").alias("n"))
+
+
+def _norm(line: str | Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+
+
+def boilerplate_lines(docs: DataFrame, host: str, min_docs: int, max_share: float) -> DataFrame:
+    """host (key), line (name of the normalised line) of every line above its host's limit; a table in the shared folder."""
+    slim = _slim(docs, host)
+    texts = slim.select("host", "t").distinct().groupBy("host").agg(F.count("*").alias("texts"))
+    held = _lines(slim).select("host", "line", "t").distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
+    many = held.where(F.col("docs") > min_docs).join(texts, "host").where(F.col("docs") > max_share * F.col("texts")).select("host", "line")
+    return Scratch(docs.sparkSession, "quality").cut(many)
 
 
 def boilerplate_words(docs: DataFrame, host: str = "source", min_docs: int = 50, max_share: float = 0.05) -> DataFrame:
     """host (key), t (xxhash64 of the text), n_boilerplate: words in lines above the host's limit; other texts have no row."""
     slim = _slim(docs, host)
     copies = slim.groupBy("host", "t").agg(F.count("*").alias("copies"))
-    texts = copies.groupBy("host").agg(F.count("*").alias("texts"))
-    held = _lines(slim).select("host", "line", "t").distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
-    many = held.where(F.col("docs") > min_docs).join(texts, "host").where(F.col("docs") > max_share * F.col("texts")).select("host", "line")
-    many = Scratch(docs.sparkSession, "quality").cut(many)
+    many = boilerplate_lines(docs, host, min_docs, max_share)
     lines = _lines(slim)
     if many.count() <= LOOKUP:
         met = lines.join(F.broadcast(many), ["host", "line"])
@@ -145,21 +155,26 @@ def _with_boilerplate(counts: DataFrame, found: DataFrame, min_words: int, min_k
 def quality_filter(
     docs: DataFrame, host: str = "source", min_docs: int = 50, max_share: float = 0.05, min_words: int = 10, min_kept: float = 0.2
 ) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, unchanged.
+    """The rows of ``docs`` that the rules keep, their texts without boilerplate lines.
 
-    The base rule is a filter of the scan; only names of depleted texts are joined.
+    The base rule is a filter of the scan.  A host has few lines above its limit
+    (its mean lines a text over ``max_share`` at most), so a row takes them as one array.
     """
-    texts = _slim(docs, host).groupBy("host", "t").agg(F.first(word_count("text")).alias("n_words"))
-    bad = (
-        boilerplate_words(docs, host, min_docs, max_share)
-        .join(texts, ["host", "t"])
-        .where(depleted(min_words, min_kept))
-        .select(F.col("host").alias("b_host"), F.col("t").alias("b_t"))
-    )
+    many = boilerplate_lines(docs, host, min_docs, max_share)
+    hosts = many.groupBy(F.col("host").alias("b_host")).agg(F.collect_set("line").alias("b_lines"))
     # Columns of docs that have the names of the counts must not clash with them.
-    part = docs.select(F.struct(*docs.columns).alias("d"), F.col("text").cast("string").alias("text"))
-    good = base_counts(part).where(f"not ({BASE_FAILED})").select("d.*")
-    return good.join(bad, (F.xxhash64(F.col("text").cast("string")) == F.col("b_t")) & (host_key(host) == F.col("b_host")), "left_anti")
+    part = docs.select(F.struct(*docs.columns).alias("d"), F.col("text").cast("string").alias("text"), host_key(host).alias("host"))
+    good = base_counts(part).where(f"not ({BASE_FAILED})").select("d", "text", "n_words", "host")
+    if many.count() <= LOOKUP:
+        met = good.join(F.broadcast(hosts), F.col("host") == F.col("b_host"), "left")
+    else:
+        salted = hosts.withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")
+        met = good.join(salted, (F.col("host") == F.col("b_host")) & (salt == F.col("b_salt")), "left")
+    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("b_lines", F.xxhash64(_norm(x)))), "\n")
+    met = met.select("d", "n_words", F.explode(F.array(F.when(F.col("b_lines").isNull(), F.col("text")).otherwise(rest))).alias("rest"))
+    kept = met.withColumn("left", word_count("rest")).where(f"not (left < {min_words} or left < {min_kept} * n_words)")
+    return kept.select(*[F.col("rest").cast(docs.schema["text"].dataType).alias(c) if c == "text" else F.col("d")[c].alias(c) for c in docs.columns])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sparkloom.llm.decontamination import decontaminate
 from sparkloom.llm.line_dedup import SKETCH, block_plan, duplicate_lines, line_dedup, line_simhashes
@@ -51,6 +52,21 @@ def test_boilerplate(table):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.kept)
 
 
+def test_boilerplate_lines_are_removed(spark, table, monkeypatch):
+    import corpus_pipeline
+    from sparkloom.llm import quality
+
+    line, own = "All rights  are reserved by us", "{0} unique words of this very document number {0} are a few more"
+    rows = [(i, f"{line if i % 2 else line.lower()} \n\n{own.format(i)}\nthe end {i}", "a") for i in range(60)] + [(70, f"{line}\n{own.format(70)}", "b")]
+    want = {i: f"\n{own.format(i)}\nthe end {i}" for i in range(60)} | {70: rows[-1][1]}
+    assert {r.doc_id: r.text for r in quality_filter(table(rows)).collect()} == want
+    docs = table(rows).withColumn("n_chars", F.length("text").cast("bigint"))
+    out = corpus_pipeline.quality_rules(spark, docs, "")
+    assert out.columns == docs.columns and {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {i: (t, len(t)) for i, t in want.items()}
+    monkeypatch.setattr(quality, "LOOKUP", 0)
+    assert {r.doc_id: r.text for r in quality_filter(table(rows)).collect()} == want
+
+
 def test_quality_edges(table):
     assert quality_rules(table([])).count() == 0 and quality_filter(table([])).count() == 0
     got = quality_rules(table([(None, None, None), (1, "", "s"), (1, "", "s")])).collect()
