@@ -9,12 +9,13 @@ by a 128-bit name.  An item of fewer words is a single window of its own length.
 
 The benchmark is read in blocks of a checked size (``BLOCK_WORDS``), each
 broadcast to one pass over the documents; spans of several blocks are merged
-per document.  A usual benchmark is one block, and nothing is shuffled.
+for equal ids and texts (by 128-bit names), whose rows are counted and given
+back as often.  A usual benchmark is one block, and nothing is shuffled.
 
 Null and empty texts have no words, are never hit, and as items never match.
 Items without id count as hits but are not listed; several rows with one id are
-one item.  Repeated rows are judged each by itself (with several blocks, rows
-that repeat a doc_id must repeat its text).  Empty tables give empty or clean
+one item.  Repeated rows are judged each by itself, also where they
+have no doc_id or one doc_id has several texts.  Empty tables give empty or clean
 results; extra columns are ignored.
 """
 
@@ -34,7 +35,7 @@ from sparkloom.llm.textkernel import NOT_ALNUM, Units, Words, chunks, row_bytes,
 BLOCK_WORDS = 1_000_000
 GRAM = 5
 
-RESULT = "doc_id long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>"
+RESULT = "doc_id long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>, name string"
 
 
 class _Names:
@@ -133,7 +134,7 @@ def _judge(shared) -> Callable:
                     spans.append([{"start": a, "end": b} for a, b in hit])
                     ids = {prints.ids[i] for _, _, who in own.get(row, []) for i in who}
                     items.append(sorted(x for x in ids if x is not None))
-            yield _result(batch.column("doc_id"), n_words, n_hit, spans, items)
+            yield _result(batch, n_words, n_hit, spans, items)
 
     return run
 
@@ -149,16 +150,17 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _result(ids, n_words, n_hit, spans, items) -> pa.RecordBatch:
+def _result(batch, n_words, n_hit, spans, items) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
-            ids,
+            batch.column("doc_id"),
             pa.array(n_words, pa.int64()),
             pa.array(n_hit, pa.int64()),
             pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             pa.array(items, pa.list_(pa.string())),
+            batch.column("name"),
         ],
-        ["doc_id", "n_words", "n_hit", "spans", "items"],
+        ["doc_id", "n_words", "n_hit", "spans", "items", "name"],
     )
 
 
@@ -167,7 +169,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = batch.to_pylist()
         spans = [merge([(s["start"], s["end"]) for s in r["spans"]]) for r in rows]
         yield _result(
-            batch.column("doc_id"),
+            batch,
             [r["n_words"] for r in rows],
             [sum(b - a for a, b in x) for x in spans],
             [[{"start": a, "end": b} for a, b in x] for x in spans],
@@ -187,6 +189,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (4 * block_words)))
+    # What tells rows of one doc_id apart when blocks are merged.
+    docs = docs.withColumn("name", F.md5("text") if blocks > 1 else F.lit(None).cast("string"))
     out = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().combine_chunks()
@@ -197,13 +201,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
         one = docs.mapInArrow(_judge(spark.sparkContext.broadcast(prints)), RESULT)
         out = one if out is None else out.unionByName(one)
     if blocks > 1:
-        out = out.groupBy("doc_id").agg(
+        # Rows of one id and text have the same result in each block; every block has all of them.
+        out = out.groupBy("doc_id", "name").agg(
             F.max("n_words").alias("n_words"),
             F.max("n_hit").alias("n_hit"),
-            F.flatten(F.collect_list("spans")).alias("spans"),
-            F.flatten(F.collect_list("items")).alias("items"),
-        ).mapInArrow(_merged, RESULT)
-    return out
+            F.flatten(F.collect_set("spans")).alias("spans"),
+            F.flatten(F.collect_set("items")).alias("items"),
+            F.expr(f"count(*) div {blocks}").alias("copies"),
+        )
+        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "copy").mapInArrow(_merged, RESULT)
+    return out.drop("name")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,6 +287,15 @@ def test_decontamination(spark, table, texts, block_words):
     assert got == contamination(texts, items, 10)
 
 
+def test_decontamination_blocks_keep_rows(spark, table):
+    """Several blocks of the benchmark give the rows of one, without ids and with repeated ones."""
+    a, b = (" ".join(f"{x}{i}" for i in range(12)) for x in "ab")
+    items = spark.createDataFrame([(1, a), (2, b)], "item_id bigint, text string")
+    rows = [(None, f"one {a}"), (None, f"{b} two three"), (None, "clean"), (None, None), (None, "clean"), (5, a), (5, a), (5, f"x {b}"), (6, "clean")]
+    got = [sorted(map(str, decontaminate(table(rows), items, 10, n).collect())) for n in (1_000_000, 2)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
 def test_decontamination_edges(spark, table):
     bench = spark.createDataFrame([("a", "x y z")], "item_id string, text string")
     assert decontaminate(table([]), bench).count() == 0
