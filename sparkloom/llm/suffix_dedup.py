@@ -1,12 +1,10 @@
-"""Suffix-array dedup by distributed prefix doubling (operator 3).
-
-Positions of the concatenated texts are ranked by growing prefixes.  The first
-rank is the name of the 25-byte prefix, taken at sampled positions so that
-every 100-byte string holds one; positions whose prefix is unique stop there.
-The others are ranked by the pair (rank of the first 50 bytes, rank of the 50
-bytes that follow): Spark sorts and groups the pairs, unique ones stop, and the
-rank of a group is its first position, document by document.  At 100 bytes the
-threshold is reached.
+"""Dedup of repeated byte strings by sampled, hashed windows (operator 3).
+
+This replaces prefix doubling, with the code of operator 6: nothing is ranked by
+pairs at growing offsets.  The smallest 25-byte gram of each 100-byte window is
+its sample; windows whose sample is unique stop there.  Runs of the others are
+split into cells and windows, and a window is named by the hashes of its first
+and last 50 bytes; the smallest place with a name is the first.
 
 A byte is removed when a 100-byte string that covers it also starts earlier: in
 a document with a smaller ``doc_id``, or earlier in the same document.  Strings
