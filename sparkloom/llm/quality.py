@@ -2,25 +2,27 @@
 
 Base rules: word and symbol counts, repeated lines and repeated 5-word windows
 inside a document.  Cross-document rule: normalised lines are hashed, and for
-each host the distinct document texts that hold a line are counted; lines above
-the limit are boilerplate of the host.  ``quality_filter`` removes them from the
+each host the distinct documents that hold a line are counted (a line counts
+once for a document, and every row is a document); lines above the limit are
+boilerplate of the host.  ``quality_filter`` removes them from the
 texts; ``quality_rules`` counts their words.  A document that keeps too few of
 its words is depleted and rejected.
 
-Exact copies of one text count once for a line, so a text is not boilerplate
-for having been copied.  The limit is the larger of ``min_docs`` and
-``max_share`` of the host's distinct texts.  A document is depleted when fewer
+The limit is the larger of ``min_docs`` and ``max_share`` of the host's
+documents with a text.  So are the lines of a text that has been copied into
+more documents of its host than that.  A document is depleted when fewer
 than ``min_words`` words, or less than ``min_kept`` of its words, are left.
 
 Only DataFrame and SQL functions are used.  What is shuffled are line hashes,
-pre-aggregated per host, line and text; texts stay in their scan task.  The
+pre-aggregated per host and line; texts stay in their scan task.  The
 frequent lines are broadcast where a count shows that they are few, and joined
 back with a salted key otherwise, so a line in a third of all documents is
 spread over tasks.
 
 Null and empty texts have no words and fail the base rule.  A null host is a
-host of its own.  Rows without doc_id or repeating one are judged each by
-itself from its text and host.  An empty table gives an empty result; extra
+host of its own.  Rows without doc_id or repeating one are documents like
+others, judged each by itself from its text and host.  Ties can't occur: a line
+is at the limit or above it.  Very long texts are judged whole.  An empty table gives an empty result; extra
 columns are ignored.
 """
 
@@ -104,9 +106,11 @@ def _norm(line: str | Column) -> Column:
 def boilerplate_lines(docs: DataFrame, host: str, min_docs: int, max_share: float) -> DataFrame:
     """host (key), line (name of the normalised line) of every line above its host's limit; a table in the shared folder."""
     slim = _slim(docs, host)
-    texts = slim.select("host", "t").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    held = _lines(slim).select("host", "line", "t").distinct().groupBy("host", "line").agg(F.count("*").alias("docs"))
-    many = held.where(F.col("docs") > min_docs).join(texts, "host").where(F.col("docs") > max_share * F.col("texts")).select("host", "line")
+    total = slim.groupBy("host").agg(F.count("*").alias("total"))
+    # Lines without a word have the name of the empty one, which is left out.
+    own = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(_norm(x))))
+    held = slim.select("host", F.explode(own).alias("line")).where(F.col("line") != F.xxhash64(F.lit(""))).groupBy("host", "line").agg(F.count("*").alias("docs"))
+    many = held.where(F.col("docs") > min_docs).join(total, "host").where(F.col("docs") > max_share * F.col("total")).select("host", "line")
     return Scratch(docs.sparkSession, "quality").cut(many)
 
 
@@ -191,8 +195,8 @@ dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY
 p AS (SELECT r, unnest(range(1, len(w) - 3)) AS p, w FROM d WHERE len(w) >= 5),
 k AS (SELECT r, p, count(*) OVER (PARTITION BY r, array_to_string(w[p:p + 4], ' ')) AS c FROM p),
 rep AS (SELECT r, count(DISTINCT q) AS n_repeat_words FROM (SELECT r, unnest(range(p, p + 5)) AS q FROM k WHERE c > 1) GROUP BY r),
-host AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
-f AS (SELECT source, norm, count(DISTINCT text) AS docs FROM l GROUP BY source, norm),
+host AS (SELECT source, count(text) AS texts FROM d GROUP BY source),
+f AS (SELECT source, norm, count(DISTINCT r) AS docs FROM l GROUP BY source, norm),
 many AS (SELECT f.source, f.norm FROM f JOIN host h ON f.source IS NOT DISTINCT FROM h.source WHERE docs > 50 AND docs > 0.05 * texts),
 boil AS (SELECT r, sum(n) AS n_boilerplate FROM l JOIN many m ON l.source IS NOT DISTINCT FROM m.source AND l.norm = m.norm GROUP BY r),
 c AS (
