@@ -5,18 +5,21 @@ from __future__ import annotations
 import html
 import random
 import re
-from dataclasses import dataclass
+import zlib
+from functools import lru_cache
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S
-)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
+PLAIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
+ATTRIBUTE = re.compile(r"\b(class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
-#: Elements whose content is no text of the page.
-RAW = frozenset(["script", "style", "template", "noscript", "svg", "math", "iframe", "object", "head", "title", "textarea", "select", "canvas"])
-#: Elements that do not interrupt a line of text.
+NUMBER = re.compile(r"&#([0-9]{8,});?")
+#: Elements whose content is no text of the page: code, what stands in the head, and controls of forms.
+RAW = frozenset(["script", "style", "template", "head", "title", "textarea", "select"])
+#: Elements that do not interrupt a line of text, parts of formulas and drawings among them.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation "
+    "svg g path use text tspan defs desc circle ellipse rect line polyline polygon object param canvas iframe".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An element that opens closes open ones of these names, up to the nearest container.
@@ -25,66 +28,142 @@ CLOSES = {
     "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",),
 } | {t: ("p",) for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
 CONTAINERS = frozenset("article aside blockquote body div dl fieldset figure footer form header main nav ol section table tbody thead ul".split())
+ITEMS = frozenset(["li", "dt", "dd", "tr", "td", "th"])
+CLOSED_FROM_AFAR = ITEMS | {"p"}
+#: Buckets of the names above a block.
+PATH = 256
 
 
-@dataclass
-class Block:
-    """One leaf: its text, the path of names above it, and the share of linked characters."""
+class Element:
+    """An open element: its names, and what of the elements above it a block needs, so that a block takes no walk."""
 
-    text: str
-    path: tuple[str, ...]
-    links: float
+    __slots__ = ("above", "tag", "names", "own", "all", "items")
 
+    def __init__(self, above: Element | None, tag: str, attributes: str, depth: int) -> None:
+        self.above, self.tag = above, tag
+        self.names, self.own, mine = _names(tag, attributes) if len(attributes) < 300 else _names.__wrapped__(tag, attributes)
+        self.all = mine | (above.all if above else 0)
+        items = {} if tag in CONTAINERS or above is None else above.items
+        self.items = items | {tag: depth} if tag in CLOSED_FROM_AFAR else items
 
-def _names(tag: str, attributes: str) -> tuple[str, ...]:
+
+@lru_cache(maxsize=20_000)
+def _names(tag: str, attributes: str) -> tuple[tuple[str, ...], int, int]:
+    """The names of an element, and the sets of their buckets as a near element and as one anywhere above."""
     out = [tag]
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             out += ["." + x for x in NAME.findall((m[2] or m[3] or m[4] or "").lower())]
-    return tuple(out)
+    near = far = 0
+    for x in set(out):
+        near |= 1 << zlib.crc32(("near " + x).encode()) % PATH
+        far |= 1 << zlib.crc32(x.encode()) % PATH
+    return tuple(out), near, far
+
+
+class Block:
+    """One leaf: its text, the element it stands in, and the share of linked characters."""
+
+    __slots__ = ("text", "element", "links")
+
+    def __init__(self, text: str, element: Element | None, links: float) -> None:
+        self.text, self.element, self.links = text, element, links
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The names of all elements above, outermost first."""
+        out, e = [], self.element
+        while e:
+            out.append(e.names)
+            e = e.above
+        return tuple(x for names in reversed(out) for x in names)
+
+    def masks(self) -> bytes:
+        """Buckets of the names anywhere above, then of those of the two nearest elements."""
+        e = self.element
+        if e is None:
+            return bytes(PATH // 4)
+        near = e.own | (e.above.own if e.above else 0)
+        return e.all.to_bytes(PATH // 8, "little") + near.to_bytes(PATH // 8, "little")
+
+
+def _decoded(text: str) -> str:
+    # A number beyond all characters; int() refuses very long ones.
+    text = NUMBER.sub(lambda m: f"&#{m[1].lstrip('0')[:8] or 0};", text)
+    return " ".join(html.unescape(text).split())
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """The blocks of a page in order; text is decoded, white space is one space."""
+    """The blocks of a page in order; text is decoded, white space is one space.
+
+    One scan forward.  What a failed look ahead has shown (no closing tag, no
+    closing quote up to the end) is remembered, so the time is proportional to
+    the length for any page.
+    """
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
+    count: dict[str, int] = {}
     text: list[str] = []
     total = linked = in_link = 0
 
     def flush() -> None:
         nonlocal total, linked
         if text:
-            line = " ".join(html.unescape("".join(text)).split())
+            line = _decoded("".join(text))
             if line:
-                out.append(Block(line, tuple(x for _, names in stack for x in names), linked / max(total, 1)))
+                out.append(Block(line, stack[-1] if stack else None, linked / max(total, 1)))
             text.clear()
         total = linked = 0
 
-    at, end = 0, len(page)
+    def close_to(k: int) -> None:
+        for e in stack[k:]:
+            count[e.tag] -= 1
+        del stack[k:]
+
+    at, look, end, last = 0, 0, len(page), page.rfind(">")
+    tag_at, unclosed = TAG, set()
     while at < end:
-        m = TAG.search(page, at)
-        stop = m.start() if m else end
+        lt = page.find("<", look)
+        if lt < 0 or lt > last:
+            lt = end
+        stop, m, skip = lt, None, 0
+        if lt < end:
+            after = page[lt + 1 : lt + 4]
+            if after == "!--":
+                k = page.find("-->", lt + 4)
+                skip = k + 3 if k >= 0 else end
+            elif after[:1] in ("!", "?"):
+                skip = page.find(">", lt) + 1
+            elif after[:1].isalpha() or after[:1] == "/":
+                m = tag_at.match(page, lt)
+                if m is None and tag_at is TAG and (m := PLAIN.match(page, lt)):
+                    tag_at = PLAIN  # a quote is open to the end; from here on tags end at the first >
+            if not skip and m is None:
+                look = lt + 1
+                continue
         if stop > at:
-            part = page[at:stop]
-            text.append(part)
-            total += len(part)
-            linked += len(part) * (in_link > 0)
-        if not m:
+            text.append(page[at:stop])
+            total += stop - at
+            linked += (stop - at) * (in_link > 0)
+        if lt == end:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        at = look = skip or m.end()
+        if skip:
             continue
-        closing = (m[1] or m[4]) == "/"
+        closing, tag, attributes = m[1] == "/", m[2].lower(), m[3]
         if tag in RAW and not closing:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if tag not in ("title",):
+            if tag != "title":
                 text.append(" ")
-            if (m[3] or m[6] or "").endswith("/"):
+            if attributes.endswith("/"):
                 continue
-            at = close.end() if close else (end if tag in ("script", "style", "textarea", "title") else at)
+            close = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            if close:
+                at = look = close.end()
+            else:
+                unclosed.add(tag)
+                at = look = end if tag in ("script", "style", "textarea", "title") else at
             continue
         if tag in INLINE:
             if tag == "a":
@@ -96,25 +175,24 @@ def blocks_of(page: str | None) -> list[Block]:
         flush()
         in_link = 0 if tag not in ("hr",) else in_link
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if count.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close_to(k)
             continue
         if tag in VOID:
             continue
         close = CLOSES.get(tag, ())
-        while close and stack and stack[-1][0] in close:
-            stack.pop()
-        if tag in ("li", "dt", "dd", "tr", "td", "th"):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CONTAINERS:
-                    break
-                if stack[k][0] in close:
-                    del stack[k:]
-                    break
-        if not (m[3] or m[6] or "").endswith("/"):
-            stack.append((tag, _names(tag, m[3] or m[6] or "")))
+        while close and stack and stack[-1].tag in close:
+            close_to(len(stack) - 1)
+        if tag in ITEMS and stack:
+            k = max(stack[-1].items.get(t, -1) for t in close)
+            if k >= 0:
+                close_to(k)
+        if not attributes.endswith("/"):
+            stack.append(Element(stack[-1] if stack else None, tag, attributes, len(stack)))
+            count[tag] = count.get(tag, 0) + 1
     flush()
     return out
 

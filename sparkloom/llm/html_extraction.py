@@ -12,50 +12,43 @@ fixed, so the weights are too.  They are small (under 1 MB) and broadcast.
 
 Null and empty pages give an empty text.  Character references are decoded,
 white space inside a block becomes one space, nothing else is dropped or cut.
-Rows are judged each by itself; an empty table gives an empty result.
+Rows are judged each by itself, so repeated rows and ids and ties need no care;
+an empty table gives an empty result; extra columns may have any name and are
+ignored.  The time is proportional to the length of a page, whatever it holds;
+a very long page is labelled in pieces, so beside its blocks it takes memory for
+``STEPS`` vectors alone.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.html_blocks import Block, PageMaker, blocks_of
+from sparkloom.llm.html_blocks import PATH, Block, PageMaker, blocks_of
 from sparkloom.llm.textkernel import Words, row_bytes
 
-PATH, WORDS, MEASURES, HIDDEN = 256, 32, 8, 24
+WORDS, MEASURES, HIDDEN = 32, 8, 24
 INPUT = 2 * PATH + WORDS + MEASURES
 TRAIN_PAGES, EPOCHS, BATCH = 1500, 8, 25
-#: Blocks that one forward pass holds.
+#: Blocks that one forward pass holds; a longer page is read in pieces of so many, with the state carried on.
 STEPS = 20_000
 
 
-@lru_cache(maxsize=50_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Names anywhere above the block, and names of its two nearest elements."""
-    v = np.zeros(2 * PATH, np.float32)
-    for x in path:
-        v[zlib.crc32(x.encode()) % PATH] = 1
-    near, seen = [], 0
-    for x in reversed(path):
-        near.append(x)
-        seen += x[0] != "."
-        if seen == 2:
-            break
-    for x in near:
-        v[PATH + zlib.crc32(("near " + x).encode()) % PATH] = 1
-    return v
-
-
 def features(pages: list[list[Block]]) -> np.ndarray:
     """One row for each block of all pages, in order."""
-    flat = [b for p in pages for b in p]
+    place = np.concatenate([np.arange(len(p)) for p in pages]) if pages else np.zeros(0)
+    total = np.concatenate([np.full(len(p), len(p)) for p in pages]) if pages else np.zeros(0)
+    return _vectors([b for p in pages for b in p], place, total)
+
+
+def _vectors(flat: list[Block], place: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Rows of blocks that stand at ``place`` in pages of ``total`` blocks."""
     x = np.zeros((len(flat), INPUT), np.float32)
     if not flat:
         return x
@@ -69,14 +62,12 @@ def features(pages: list[list[Block]]) -> np.ndarray:
     x[:, -1] = np.log1p(size) / 5
     x[:, -2] = np.log1p(words.count) / 5
     x[:, -3] = [b.links for b in flat]
-    place = np.concatenate([np.arange(len(p)) for p in pages])
-    total = np.concatenate([np.full(len(p), len(p)) for p in pages])
     x[:, -4], x[:, -5] = place / total, 1 / (1 + place)
     x[:, -6] = np.log1p(total) / 5
     x[:, -7] = np.add.reduceat(np.r_[(raw == 46) | (raw == 44), 0].astype(np.float32), np.minimum(offsets[:-1], len(raw))) / np.maximum(size, 1)
     x[:, -8] = 1
-    for i, b in enumerate(flat):
-        x[i, : 2 * PATH] = _path_vector(b.path)
+    masks = np.frombuffer(b"".join([b.masks() for b in flat]), np.uint8)
+    x[:, : 2 * PATH] = np.unpackbits(masks, bitorder="little").reshape(len(flat), 2 * PATH)
     return x
 
 
@@ -137,6 +128,24 @@ class Labeller:
             keep |= {"at": at, "mask": mask, "hidden": hidden}
         return _sigmoid(hidden @ self.p["o"] + self.p["ob"])
 
+    def long_page(self, blocks: list[Block], steps: int) -> np.ndarray:
+        """Probabilities for one page, read in pieces forward and then backward, with the state carried on."""
+        total, logit = np.full(len(blocks), len(blocks)), np.full(len(blocks), self.p["ob"][0], np.float32)
+        starts = range(0, len(blocks), steps)
+        for k, d in enumerate("fb"):
+            h = c = np.zeros(HIDDEN, np.float32)
+            u, o = self.p["u" + d], self.p["o"][k * HIDDEN : (k + 1) * HIDDEN]
+            for lo in starts if d == "f" else reversed(starts):
+                part = blocks[lo : lo + steps]
+                z = _vectors(part, np.arange(lo, lo + len(part)), total[lo : lo + len(part)]) @ self.p["w" + d] + self.p["c" + d]
+                for t in range(len(part)) if d == "f" else range(len(part) - 1, -1, -1):
+                    g = z[t] + h @ u
+                    gate = _sigmoid(g[: 3 * HIDDEN])
+                    c = gate[HIDDEN : 2 * HIDDEN] * c + gate[:HIDDEN] * np.tanh(g[3 * HIDDEN :])
+                    h = gate[2 * HIDDEN :] * np.tanh(c)
+                    logit[lo + t] += h @ o
+        return _sigmoid(logit)
+
     def gradients(self, x: np.ndarray, lengths: list[int], y: np.ndarray) -> dict[str, np.ndarray]:
         keep: dict = {}
         e = (self.forward(x, lengths, keep) - y).astype(np.float32) / len(y)
@@ -189,18 +198,21 @@ def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = 5) -> La
     return model
 
 
-def main_texts(model: Labeller, pages: list[list[Block]]) -> list[str]:
+def main_texts(model: Labeller, pages: list[list[Block]], steps: int = STEPS) -> list[str]:
     """The main text of each page."""
     out = [""] * len(pages)
     order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
     k = 0
     while k < len(order):
         some = [order[k]]
-        while k + len(some) < len(order) and len(pages[order[k + len(some)]]) * (len(some) + 1) <= STEPS:
+        while k + len(some) < len(order) and len(pages[order[k + len(some)]]) * (len(some) + 1) <= steps:
             some.append(order[k + len(some)])
         k += len(some)
         blocks = [pages[i] for i in some]
-        chance = model.forward(features(blocks), [len(b) for b in blocks])
+        if len(blocks[0]) > steps:
+            chance = model.long_page(blocks[0], steps)
+        else:
+            chance = model.forward(features(blocks), [len(b) for b in blocks])
         at = 0
         for i, b in zip(some, blocks, strict=True):
             out[i] = " ".join(x.text for x, c in zip(b, chance[at : at + len(b)], strict=True) if c >= 0.5)
@@ -211,8 +223,11 @@ def main_texts(model: Labeller, pages: list[list[Block]]) -> list[str]:
 def _extract(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            # Few long pages or many short ones at a time: about 8 MB of them.
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("html")), 0).to_numpy(zero_copy_only=False).astype(np.int64)) >> 23
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(lo, hi - lo)
                 texts = main_texts(shared.value, [blocks_of(x) for x in part.column("html").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

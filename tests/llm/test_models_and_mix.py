@@ -23,6 +23,36 @@ def test_blocks():
     assert [b.text for b in blocks_of("a < b <p x='1>2'>c <unclosed")] == ["a < b", "c <unclosed"]
 
 
+def test_blocks_take_linear_time():
+    """Hostile pages of about 1 MB, and twice as much takes about twice as long."""
+    import time
+
+    pieces = ["<a ", "<div>x", "<svg>", "<! ", "<a \"", "<a '>'", "<select>", "</select", "<x><td>y", "<li>x", "&#" + "9" * 50 + ";", "<p>x</q>", "<div class=\"a b\">x", "<", "<!--", "<ul><li>x"]
+    for x in pieces:
+        took = []
+        for n in (500_000, 1_000_000):
+            began = time.thread_time()
+            blocks_of(x * (n // len(x)) + ">")
+            took.append(time.thread_time() - began)
+        assert took[1] < 10 and took[1] < 4 * took[0] + 0.5, x
+
+
+def test_text_inside_formulas_and_fallbacks_stays():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be <svg><title>t</title><text>drawn</text></svg>.</p><noscript><p>plain</p></noscript><object>other</object></article>"
+    assert [b.text for b in blocks_of(page)] == ["Let x=2 be drawn.", "plain", "other"]
+    assert "noscript" in blocks_of(page)[1].path
+    assert [b.text for b in blocks_of("&#0000000065; &#" + "1" * 5000 + ";")] == ["A \ufffd"]
+
+
+def test_long_pages_in_pieces():
+    """A page read in pieces gets the labels of one read whole."""
+    maker = PageMaker(9)
+    blocks = [b for _ in range(12) for b in maker.labelled()[0]]
+    whole = trained().forward(features([blocks]), [len(blocks)])
+    assert np.allclose(trained().long_page(blocks, 7), whole, atol=1e-4)
+    assert main_texts(trained(), [blocks, blocks[:3]], 7)[0] == " ".join(b.text for b, c in zip(blocks, whole, strict=True) if c >= 0.5)
+
+
 def test_gradients():
     """Analytic against numeric derivatives."""
     r = np.random.default_rng(0)
