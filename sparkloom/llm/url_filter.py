@@ -13,14 +13,22 @@ Hosts are lower-cased, without port, user and a leading ``www.``; query and
 fragment are ignored.  Of entries for one pattern at one time the last by action
 (``remove`` after ``add``) holds.  An interval without end is open.
 
-Captures are reduced to distinct (url, time) pairs, their keys meet the list in
-a salted equi-join (the list is replicated SALTS times, so a host with a third
-of all captures is spread over tasks), and the time is looked up among the
-pattern's own intervals.  Only DataFrame and SQL functions are used.
+Captures are reduced to distinct (url, time) pairs, and those of their keys that
+are listed at all are found by a salted equi-join.  The as-of join is one sorted
+union: captures and interval starts of a pattern are ordered by time, and each
+capture takes the last start before it or at its time.  So that no pattern is
+the work of one task, time is cut into ``RANGES`` ranges of equal width and the
+captures into ``SALTS`` salts; the interval that holds when a range begins is
+carried into it (one row for a pattern and range at most).  Intervals are closed
+range by range in the same way.  Two numbers, the first and last time of the
+log, reach the driver.  Only DataFrame and SQL functions are used.
 
 A null url or time matches nothing (n_active 0, not blocked); entries with a
 null pattern, kind, action or time are ignored; repeated entries and captures
-change nothing but their own rows.  An empty list blocks nothing.
+change nothing but their own rows.  Captures at the very time of an entry see
+it.  Urls of any length are judged whole.  An empty list blocks nothing, an
+empty table of captures gives an empty result.  Extra columns may have any name;
+those named _active and _blocked are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +36,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm.scratch import Scratch
+
 SALTS = 8
+RANGES = 64
 
 
 def url_host(url: str | Column = "url") -> Column:
@@ -54,35 +65,78 @@ def _keys() -> Column:
     return F.expr(f"array_distinct(concat({domains}, {prefixes}))")
 
 
-def validity_intervals(entries: DataFrame) -> DataFrame:
-    """kind, pattern, spans array<struct<from, to>>: when a pattern is on the list, sorted.
+class _Ranges:
+    """Ranges of equal width between the first and the last time of a log."""
 
-    entries: kind, pattern, action, at (long).
+    def __init__(self, first: int | None, last: int | None) -> None:
+        self.first = first or 0
+        self.width = max(1, -(-((last or 0) - self.first + 1) // RANGES))
+
+    def of(self, at: str) -> Column:
+        return F.least(F.greatest(F.floor((F.col(at) - self.first) / self.width), F.lit(0)), F.lit(RANGES - 1)).cast("int")
+
+
+def validity_intervals(log: DataFrame, ranges: _Ranges) -> DataFrame:
+    """kind, pattern, range, from, to: when a pattern is on the list, by the range in which that begins.
+
+    log: kind, pattern, at, action; one row for each pattern and time.
     """
-    log = entries.select("kind", "pattern", "action", F.col("at").cast("long").alias("at")).where(
-        "kind is not null and pattern is not null and action in ('add', 'remove') and at is not null"
+    log = log.withColumn("range", ranges.of("at"))
+    # What ends the last entry of a range is the first of the next range that has one.
+    firsts = log.groupBy("kind", "pattern", "range").agg(F.min("at").alias("first"))
+    after = firsts.withColumn("after", F.lead("first").over(Window.partitionBy("kind", "pattern").orderBy("range"))).drop("first")
+    w = Window.partitionBy("kind", "pattern", "range").orderBy("at")
+    spans = log.withColumn("next", F.lead("at").over(w)).where("action = 'add'")
+    return spans.join(after, ["kind", "pattern", "range"]).select("kind", "pattern", "range", F.col("at").alias("from"), F.coalesce("next", "after").alias("to"))
+
+
+def _as_of(keyed: DataFrame, spans: DataFrame, ranges: _Ranges) -> DataFrame:
+    """The rows of ``keyed`` (u, t, kind, pattern, salt) whose pattern is on the list at t."""
+    pattern, cell = ["kind", "pattern"], ["kind", "pattern", "range", "salt"]
+    keyed = keyed.withColumn("range", ranges.of("t"))
+    # The interval that a range begins with: the last one of the ranges before.
+    latest = spans.groupBy(*pattern, "range").agg(F.max(F.struct("from", "to")).alias("last"))
+    asked = keyed.select(*pattern, "range").distinct().withColumn("last", F.lit(None).cast("struct<from:bigint,to:bigint>"))
+    both = latest.unionByName(asked).groupBy(*pattern, "range").agg(F.max("last").alias("last"))
+    before = Window.partitionBy(*pattern).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.select(*pattern, "range", F.last("last", ignorenulls=True).over(before).alias("span")).where("span is not null")
+    starts = spans.select(*pattern, "range", F.struct("from", "to").alias("span")).unionByName(carried)
+    salted = starts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Starts come before captures of the same time.
+    rows = salted.select(*cell, F.col("span.from").alias("at"), F.lit(0).alias("nr"), "span", F.lit(None).cast("string").alias("u")).unionByName(
+        keyed.select(*cell, F.col("t").alias("at"), F.lit(1).alias("nr"), F.lit(None).cast("struct<from:bigint,to:bigint>").alias("span"), "u")
     )
-    last = log.groupBy("kind", "pattern", "at").agg(F.max("action").alias("action"))
-    w = Window.partitionBy("kind", "pattern").orderBy("at")
-    spans = last.withColumn("until", F.lead("at").over(w)).where("action = 'add'")
-    return spans.groupBy("kind", "pattern").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("from"), F.col("until").alias("to")))).alias("spans"))
+    order = Window.partitionBy(*cell).orderBy("at", "nr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.select("u", F.col("at").alias("t"), *pattern, "nr", F.last("span", ignorenulls=True).over(order).alias("span"))
+    return met.where("nr = 1 and span.from <= t and (span.to is null or t < span.to)").drop("nr", "span")
 
 
 def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetch_at") -> DataFrame:
-    """``captures`` with _active (kind:pattern, sorted) and _blocked."""
-    seen = captures.select(F.col(url).cast("string").alias("u"), F.col(at).cast("long").alias("t")).where("u is not null and t is not null").distinct()
+    """``captures`` with _active (kind:pattern, sorted) and _blocked.
+
+    entries: kind, pattern, action, at (long).
+    """
+    scratch = Scratch(captures.sparkSession, "urls")
+    log = entries.select("kind", "pattern", "action", F.col("at").cast("long").alias("at")).where(
+        "kind is not null and pattern is not null and action in ('add', 'remove') and at is not null"
+    )
+    log = scratch.cut(log.groupBy("kind", "pattern", "at").agg(F.max("action").alias("action")))
+    ranges = _Ranges(*log.agg(F.min("at"), F.max("at")).first())
+    spans = scratch.cut(validity_intervals(log, ranges))
+    scratch.drop(log)
+    rows = captures.select(F.struct(*[captures[c] for c in captures.columns]).alias("d"), captures[url].cast("string").alias("u"), captures[at].cast("long").alias("t"))
+    seen = rows.select("u", "t").where("u is not null and t is not null").distinct()
     path = F.regexp_extract("u", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     keyed = seen.select("u", "t", url_host("u").alias("host"), path.alias("path")).where("host is not null")
     keyed = keyed.select("u", "t", F.explode(_keys()).alias("k"), F.pmod(F.xxhash64("u", "t"), F.lit(SALTS)).cast("int").alias("salt"))
-    keyed = keyed.select("u", "t", "k.kind", "k.pattern", "salt")
-    listed = validity_intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = keyed.join(listed, ["kind", "pattern", "salt"]).where("exists(spans, s -> s.from <= t and (s.to is null or t < s.to))")
-    active = met.groupBy("u", "t").agg(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "pattern"))).alias("_active"))
-    out = captures.join(active, (captures[url].cast("string") == F.col("u")) & (captures[at].cast("long") == F.col("t")), "left")
-    return out.select(
-        *[captures[c] for c in captures.columns],
-        F.coalesce("_active", F.array().cast("array<string>")).alias("_active"),
-        F.col("_active").isNotNull().alias("_blocked"),
+    listed = spans.select("kind", "pattern").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = keyed.select("u", "t", "k.kind", "k.pattern", "salt").join(listed, ["kind", "pattern", "salt"], "left_semi")
+    met = _as_of(scratch.cut(keyed), spans, ranges)
+    active = met.groupBy("u", "t").agg(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "pattern"))).alias("active"))
+    return rows.join(active, ["u", "t"], "left").select(
+        *[F.col("d")[c].alias(c) for c in captures.columns if c not in ("_active", "_blocked")],
+        F.coalesce("active", F.array().cast("array<string>")).alias("_active"),
+        F.col("active").isNotNull().alias("_blocked"),
     )
 
 

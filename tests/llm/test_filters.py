@@ -210,6 +210,28 @@ def test_url_filter(spark):
     assert cap.select(url_host("url").alias("h")).first().h == "a.b.com"
 
 
+def test_url_filter_against_every_entry(spark):
+    """Many entries and captures of few patterns against the whole log of each, in all ranges of time."""
+    import random
+
+    r = random.Random(4)
+    hosts = ["a.b.com", "b.com", "x.b.com", "c.org"]
+    log = [("domain", r.choice(hosts), r.choice(["add", "remove"]), r.choice([0, 3, r.randint(0, 5000)])) for _ in range(300)]
+    caps = [(i, f"http://{r.choice(hosts)}/p", r.choice([-5, 0, 3, 9000, r.randint(0, 5200)])) for i in range(600)]
+    last = collections.defaultdict(dict)
+    for _, p, action, at in log:
+        last[p][at] = max(action, last[p].get(at, ""))
+    want = {}
+    for i, u, t in caps:
+        labels = u.split("/")[2].split(".")
+        keys = {".".join(labels[k:]) for k in range(max(1, len(labels) - 1))}
+        want[i] = sorted(f"domain:{p}" for p in keys if (past := [a for a in last[p] if a <= t]) and last[p][max(past)] == "add")
+    df = spark.createDataFrame(caps, "page_id bigint, url string, fetch_at bigint").selectExpr("*", "1 as u", "2 as t", "3 as d", "4 as active", "5 as _active", "6 as host")
+    out = url_filter(df, spark.createDataFrame(log, "kind string, pattern string, action string, at bigint"))
+    assert out.columns == ["page_id", "url", "fetch_at", "u", "t", "d", "active", "host", "_active", "_blocked"]
+    assert {x.page_id: x._active for x in out.collect()} == want and any(want.values()) and not all(want.values())
+
+
 def luhn(s):
     d = [int(c) for c in reversed(re.sub(r"\D", "", s))]
     return sum(x if i % 2 == 0 else (2 * x if x < 5 else 2 * x - 9) for i, x in enumerate(d)) % 10 == 0
