@@ -7,7 +7,8 @@ import pytest
 
 from sparkloom.llm.html_blocks import PageMaker, blocks_of
 from sparkloom.llm.html_extraction import BATCH, Labeller, extract_main_text, features, main_texts, trained
-from sparkloom.llm.mixing import mix_sources, source_targets
+from sparkloom.llm.mixing import dealt_rows, mix_sources, source_targets
+from sparkloom.llm.scratch import Scratch
 
 
 def test_blocks():
@@ -98,13 +99,71 @@ def test_extraction(spark):
     assert main_texts(trained(), [[], blocks_of(page)])[0] == ""
 
 
-def test_targets():
-    sizes = [("b", 100), (None, 50), ("a", 10), ("é", 0)]
-    got = source_targets(sizes, 1.5, (3, 1, 2), 2)
+def plain_targets(sizes, share, weights, most):
+    """The rule in plain Python: targets above their limit stop there, the rest is shared again."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, free, target = share * sum(sizes.values()), list(order), {}
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        above = [s for s in free if unit * weight[s] > most * sizes[s]]
+        if not above:
+            return target | {s: unit * weight[s] for s in free}
+        for s in above:
+            target[s] = float(most * sizes[s])
+            left -= target[s]
+        free = [s for s in free if s not in target]
+    return target
+
+
+def test_targets(spark):
+    def targets(sizes):
+        df = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(5)
+        return {r.source: r.target for r in source_targets(df, Scratch(spark, "t"), 1.5, (3, 1, 2), 2).collect()}
+
     # a, b, é, null get 3, 1, 2, 3; a stops at 20 and é at 0; the rest is shared 1 to 3, null stops at 100.
-    assert got == {"a": 20.0, "é": 0.0, None: 100.0, "b": 120.0}
-    assert sum(got.values()) == 1.5 * 160
-    assert source_targets([], 1.5, (3, 1, 2), 2) == {} and source_targets([("a", 0)], 1.5, (3,), 2) == {"a": 0.0}
+    got = targets({"b": 100, None: 50, "a": 10, "é": 0})
+    assert got == pytest.approx({"a": 20.0, "é": 0.0, None: 100.0, "b": 120.0}) and sum(got.values()) == pytest.approx(1.5 * 160)
+    assert targets({}) == {} and targets({"a": 0}) == {"a": 0.0}
+    many = {f"s{i * 7919 % 997}": i * i % 1013 for i in range(400)} | {None: 3}
+    assert targets(many) == pytest.approx(plain_targets(many, 1.5, (3, 1, 2), 2))
+
+
+def plain_rounding(rows):
+    """Pivotal rounding of (size, part, chance) in order, with exact fractions of a document passed on."""
+    part, held = [p for _, p, _ in rows], None
+    for j, (size, p, chance) in enumerate(rows):
+        if size == 0 or not 1e-12 < p < 1 - 1e-12:
+            part[j] = round(p)
+            continue
+        if held is None:
+            held = j
+            continue
+        up, down = min(rows[held][0] * (1 - part[held]), size * part[j]), min(rows[held][0] * part[held], size * (1 - part[j]))
+        mass = up if chance * (up + down) < down else -down
+        part[held], part[j] = part[held] + mass / rows[held][0], part[j] - mass / size
+        between = [k for k in (held, j) if 1e-12 < part[k] < 1 - 1e-12]
+        held = between[0] if between else None
+    return part, held
+
+
+def test_mixing_against_plain_rounding(spark, table):
+    """Every document's copies, with one chunk a source, equal those of plain rounding by the same random numbers."""
+    rows = [(i, "w " * (1 + i * i % 41), "xyz"[i % 3]) for i in range(150)] + [(None, "a b c", "x")] * 40
+    got = mix_sources(table(rows)).collect()
+    copies = collections.Counter((r.doc_id, r.copies) for r in got)
+    rate = {r.source: r.target / r.source_size for r in got}
+    sized = spark.createDataFrame([(i, s, len(t.split())) for i, t, s in rows], "doc_id long, source string, size long")
+    plan = spark.createDataFrame([(s, x, 1) for s, x in rate.items()], "p_source string, rate double, chunks long")
+    dealt = dealt_rows(sized, plan, 1).collect()
+    want = collections.Counter()
+    for s in "xyz":
+        own = sorted((r for r in dealt if r.source == s), key=lambda r: (-r["size"], r.doc_id is None, r.doc_id or 0, r.nr))
+        part, held = plain_rounding([(r["size"], r.part, r.chance) for r in own])
+        for k, r in enumerate(own):
+            if k != held:
+                want[r.doc_id, int(rate[s]) + round(part[k])] += 1
+    assert sum(want.values()) >= len(rows) - 3 and not want - copies
 
 
 @pytest.mark.parametrize("chunk", [5, 10_000])
