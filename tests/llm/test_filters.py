@@ -87,13 +87,12 @@ def chained(*parts):
 def line_features(norm):
     """Blocks and SimHash of a normalised line."""
     w = norm.split(" ")
-    h, n = [chained(x) for x in w], len(w)
-    size = [len(a) + len(b) for a, b in zip(w, w[1:], strict=False)]
-    pairs = {(chained(h[i : i + 2]) % 2**64 >> 3) | (0 if size[i] >= 12 else 1 if size[i] >= 8 else 2) << 61 for i in range(n - 1)}
-    keys = set(sorted(pairs)[:8])
+    h, n = [(chained(x) % 2**64 >> 2) | (0 if len(x) >= 6 else 1 << 62) for x in w], len(w)
+    first = sorted(set(h))[:8]
+    keys = {chained([x, [*h, 0][h.index(x) + 1]]) for x in first}
     if n < 8:
         keys |= {chained(3, h[:i] + h[i + 1 :]) for i in range(n + 1)}
-    return keys, sum((2 * sum(x >> b & 1 for x in h) > n) << b for b in range(64))
+    return keys, sum((2 * sum(x >> b & 1 for x in h) > n) << b for b in range(64) if b % 8 < 4)
 
 
 def distance(a, b):
@@ -127,7 +126,8 @@ def test_line_dedup(table, texts):
             a, b = names[x], names[y]
             most = 0.1 * max(len(a), len(b))
             (ka, sa), (kb, sb) = nodes[a], nodes[b]
-            if ka & kb and (sa ^ sb).bit_count() <= 27 and abs(len(a) - len(b)) <= most and distance(a, b) <= int(most + 1e-9):
+            bits = (sa ^ sb).bit_count()
+            if (ka & kb and bits <= 9 or len(ka & kb) > 1 and bits <= 14) and abs(len(a) - len(b)) <= most and distance(a, b) <= int(most + 1e-9):
                 up[find(a)] = find(b)
     first, want = {}, collections.defaultdict(list)
     for i, no, n in sorted(occurrences):
