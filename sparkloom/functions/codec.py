@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,10 +58,22 @@ def decode_postings(data: bytes) -> tuple[list[int], list[int]]:
     return ids, flat[1::2]
 
 
-@F.pandas_udf(T.BinaryType())
-def encoded(ids: pd.Series, counts: pd.Series) -> pd.Series:
-    """Arrow-batched ``encode_postings`` of two array columns."""
-    return pd.Series([encode_postings(map(int, a), map(int, b)) for a, b in zip(ids, counts, strict=True)])
+def _hex(x: str) -> str:
+    """SQL: the bytes of the integer x, in hexadecimal digits."""
+    rest = f"IF({x} < 0, ~{x}, {x})"
+    size = f"(length(hex({rest})) + 1) div 2"
+    marker = f"right(hex(IF({x} < 0, -120L, -112L) - {size}), 2)"
+    return f"CASE WHEN {x} BETWEEN -112 AND 127 THEN right(concat('0', hex({x})), 2) ELSE concat({marker}, lpad(hex({rest}), cast(2 * ({size}) as int), '0')) END"
+
+
+def encoded(ids: str, counts: str) -> Column:
+    """``encode_postings`` of two array columns of longs, as an expression."""
+    gap = _let(f"{ids}[i] - IF(i = 0, 0L, {ids}[i - 1])", _hex("x"))
+    return F.expr(f"unhex(array_join(transform({ids}, (v, i) -> concat({gap}, {_let(f'cast({counts}[i] as bigint)', _hex('x'))})), ''))")
+
+
+def _let(value: str, body: str) -> str:
+    return f"transform(array({value}), x -> {body})[0]"
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

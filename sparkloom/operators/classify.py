@@ -19,13 +19,13 @@ def sigmoid(x: float) -> float:
 
 
 def train_sgd(samples: DataFrame, order_col: str, delta: float = 0.002, shuffle_seed: int | None = None) -> DataFrame:
-    """feature, weight after one pass over the samples in order, or in an order drawn from a seed.
+    """feature, weight after one pass over the samples in order, or in the order of the md5 of 'key:seed'.
 
     Every step uses the weights that all samples before have left, so a pass is
     one sequence; its rows stream through a task that holds the weights alone.
     """
     kind = dict(samples.select(F.explode("features").alias("f")).dtypes)["f"]
-    order = F.col(order_col) if shuffle_seed is None else F.xxhash64(order_col, F.lit(shuffle_seed))
+    order = F.col(order_col) if shuffle_seed is None else F.md5(F.concat_ws(":", F.col(order_col).cast("string"), F.lit(str(shuffle_seed))))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w: dict = {}

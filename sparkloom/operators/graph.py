@@ -43,6 +43,11 @@ def partition_graph(nodes: DataFrame, partitions: int, range_nodes: int | None =
     return nodes.withColumn("partition", part).repartition(partitions, "partition")
 
 
+def store_edges(edges: DataFrame, table: str, buckets: int) -> None:
+    """Edges as a table in buckets by their start: joins and sums by it need no shuffle, in later jobs neither."""
+    edges.repartition(buckets, "src").write.bucketBy(buckets, "src").sortBy("src").mode("overwrite").saveAsTable(table)
+
+
 def personalized_pagerank(
     nodes: DataFrame, edges: DataFrame, sources: list[int], iterations: int, alpha: float = 0.15, cut_every: int = 5
 ) -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import snippet, tokens
+from sparkloom.sources.sinks import write_sorted
+
+#: Document ids in one block of an index.
+BLOCK_DOCS = 1 << 16
 
 
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -23,19 +27,37 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """term, df, postings array<struct<doc_id, gap, tf>> by doc_id."""
-    row = F.struct("doc_id", "tf")
-    sorted_ = term_frequencies(docs, id_col, text_col).groupBy("term").agg(F.count("*").alias("df"), F.array_sort(F.collect_list(row)).alias("p"))
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """term, block, df, postings array<struct<doc_id, gap, tf>> by doc_id.
+
+    A row has the postings of a term in one block of ``block_docs`` ids, so none
+    grows with the collection; gaps start anew in each block.  df is that of the
+    term in all documents.
+    """
+    tf = term_frequencies(docs, id_col, text_col)
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    block = F.floor(F.col("doc_id") / block_docs).alias("block")
+    rows = tf.groupBy("term", block).agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("p"))
     gaps = F.expr("transform(p, (x, i) -> struct(x.doc_id AS doc_id, x.doc_id - IF(i = 0, 0, p[i - 1].doc_id) AS gap, x.tf AS tf))")
-    return sorted_.select("term", "df", gaps.alias("postings"))
+    return rows.join(df, "term").select("term", "block", "df", gaps.alias("postings"))
 
 
 def encode_index(index: DataFrame) -> DataFrame:
-    """term, df, data: postings as variable-length integers."""
+    """term, block, df, data: postings as variable-length integers."""
     from sparkloom.functions.codec import encoded
 
-    return index.select("term", "df", encoded(F.col("postings.doc_id"), F.col("postings.tf")).alias("data"))
+    rows = index.select("term", "block", "df", F.col("postings.doc_id").alias("ids"), F.col("postings.tf").alias("counts"))
+    return rows.select("term", "block", "df", encoded("ids", "counts").alias("data"))
+
+
+def store_index(index: DataFrame, path: str, partitions: int = 16) -> None:
+    """The index as files sorted by term, so that a look-up reads the row groups of its terms alone."""
+    write_sorted(index, path, "term", partitions)
+
+
+def look_up(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """The rows of some terms in a stored index; the terms are a filter of the scan."""
+    return spark.read.parquet(path).where(F.col("term").isin(list(terms)))
 
 
 def decode_gaps(gapped: DataFrame) -> DataFrame:

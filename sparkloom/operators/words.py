@@ -5,10 +5,11 @@ All take a DataFrame with a text column; null and empty lines have no words.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import tokens
+from sparkloom.plans.lineage import cut_lineage
 
 
 def word_count(lines: DataFrame, text_col: str = "line") -> DataFrame:
@@ -36,10 +37,10 @@ def follow_count(lines: DataFrame, trigger: str, min_count: int = 2, text_col: s
 def bigram_relfreq(lines: DataFrame, text_col: str = "line") -> DataFrame:
     """left, right, value: '*' has the count of left as a first word, others their share of it."""
     pairs = bigrams(lines, text_col).groupBy("left", "right").count()
-    total = F.sum("count").over(Window.partitionBy("left"))
-    shares = pairs.select("left", "right", (F.col("count") / total).alias("value"))
-    marginals = pairs.groupBy("left").agg(F.sum("count").cast("double").alias("value")).select("left", F.lit("*").alias("right"), "value")
-    return shares.unionByName(marginals)
+    # Summed before the shuffle and joined, so followers of a frequent word need not meet in one task.
+    total = pairs.groupBy("left").agg(F.sum("count").alias("total"))
+    shares = pairs.join(total, "left").select("left", "right", (F.col("count") / F.col("total")).alias("value"))
+    return shares.unionByName(total.select("left", F.lit("*").alias("right"), F.col("total").cast("double").alias("value")))
 
 
 def pmi_pairs(lines: DataFrame, threshold: int = 1, max_tokens: int = 40, unigram_cap: int | None = None, text_col: str = "line") -> DataFrame:
@@ -56,8 +57,9 @@ def pmi_pairs(lines: DataFrame, threshold: int = 1, max_tokens: int = 40, unigra
     words = rows.select("_line", F.explode(F.array_distinct(F.slice("w", 1, max(cap, max_tokens)))).alias("word")) if cap == max_tokens else None
     counts = rows.select(F.explode(F.array_distinct(F.slice("w", 1, cap))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
     if threshold > 1 and words is not None:
-        often = counts.where(F.col("c") >= threshold)
-        kept = words.join(often.select("word"), "word", "left_semi").groupBy("_line").agg(F.array_sort(F.collect_list("word")).alias("d"))
+        # One table, read by three joins.
+        counts = cut_lineage(counts.where(F.col("c") >= threshold))
+        kept = words.join(counts.select("word"), "word", "left_semi").groupBy("_line").agg(F.array_sort(F.collect_list("word")).alias("d"))
     else:
         kept = rows.select(F.array_sort(F.array_distinct(F.slice("w", 1, max_tokens))).alias("d"))
     pairs = kept.select(F.posexplode("d").alias("i", "x"), "d").select("x", F.explode(F.expr("slice(d, i + 2, size(d))")).alias("y"))

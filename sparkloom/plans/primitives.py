@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +11,15 @@ from sparkloom.functions.codec import decoded_ids, encoded
 from sparkloom.functions.dates import date_after, date_prefix, day, month
 from sparkloom.functions.text import snippet, tokens
 from sparkloom.operators import classify, graph, relational, retrieval, words
+from sparkloom.plans.lineage import cut_lineage, own_path
 from sparkloom.plans.programs import (
-    BASE, BIGRAMS, BOXES, DATE, EDGES, LINES, MONTH, NATIONS, SAMPLES, TF, TOKENIZED, TOKENS,
-    _boxed, _lines, _rounded, _t, _time, event_graph, p9, samples,
+    BASE, BIGRAMS, BOXES, CELLS, DATE, EDGES, LINES, MONTH, NATIONS, SAMPLES, TF, TOKENIZED, TOKENS,
+    _boxed, _lines, _rounded, _t, _time, event_graph, p9, samples, sgd_sql, stored_index,
 )
-from sparkloom.sources.streams import table_stream
+from sparkloom.sources import sinks, tables
+from sparkloom.sources.streams import text_stream
 from sparkloom.sources.tables import load_table
-from sparkloom.streaming import trends, windows
+from sparkloom.streaming import runs, trends, windows
 
 
 def _docs(s, d):
@@ -37,21 +41,115 @@ def _unigrams(s, d):
 _UNI = f"{TOKENIZED}, t AS (SELECT DISTINCT doc_id, line_no, unnest(list_slice(w, 1, 40)) AS word FROM toks), u AS (SELECT word, count(*) AS c FROM t GROUP BY word)"
 
 
+#: Days of the month at which the replayed events are cut into files.
+_CUTS = [1, 7, 13, 19, 32]
+
+
+def _replayed(s: SparkSession, d: str, days: list[int] = _CUTS) -> tuple[str, DataFrame]:
+    """A folder with the events as files in the order of time, and the stream over it, one file a batch."""
+    folder = own_path(s, "events")
+    runs.replay(_events(s, d), "ts", folder, days)
+    return folder, runs.file_stream(s, folder, _events(s, d).schema)
+
+
 def _stream_counts(s: SparkSession, d: str) -> DataFrame:
-    """Hourly counts of the events as a stream; complete mode gives the batch result."""
-    out = trends.run_available(windows.event_count(table_stream(s, f"{d}/events.parquet")), "event_counts", "complete")
+    """Hourly counts of the events as a stream of four batches; complete mode gives the batch result."""
+    out = trends.run_available(windows.event_count(_replayed(s, d)[1]), "event_counts", "complete")
     return _time(out, "window_start")
 
 
 def _stream_regions(s: SparkSession, d: str) -> DataFrame:
-    stream = table_stream(s, f"{d}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    stream = _replayed(s, d)[1].withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     out = trends.run_available(windows.region_event_count(stream, "ts", "value", "k", BOXES), "region_counts", "complete")
     return _time(out, "window_start")
 
 
 def _stream_trends(s: SparkSession, d: str) -> DataFrame:
-    out = trends.run_available(trends.trending_stream(table_stream(s, f"{d}/events.parquet"), "ts", "event_type", 60), "trends")
-    return _time(out, "window_end")
+    """State by key over four batches; each batch writes a folder."""
+    path, stream = own_path(s, "trends"), _replayed(s, d)[1]
+    runs.run_batches(trends.trending_stream(stream, "ts", "event_type", 60), sinks.snapshots(path), own_path(s, "checkpoint"))
+    return _time(s.read.parquet(f"{path}/part-*"), "window_end")
+
+
+def _restarted_counts(s: SparkSession, d: str) -> DataFrame:
+    """Half of the files come and the stream ends; the others come and it goes on from its checkpoint."""
+    path, checkpoint = own_path(s, "windows"), own_path(s, "checkpoint")
+    folder, stream = _replayed(s, d, _CUTS[:3])
+    for cuts in ([], _CUTS[2:]):
+        runs.replay(_events(s, d), "ts", folder, cuts)
+        runs.run_batches(windows.event_count(stream), runs.latest_windows(path), checkpoint, "update")
+    return _time(runs.read_latest(s, path, ["window_start", "key"], "count"), "window_start")
+
+
+def _counted_batches(s: SparkSession, d: str) -> DataFrame:
+    counter = runs.Counter()
+    runs.run_batches(_replayed(s, d)[1], counter, own_path(s, "checkpoint"))
+    return s.createDataFrame([(counter.batches, counter.rows)], "batches long, events long")
+
+
+def _stopped(s: SparkSession, d: str) -> DataFrame:
+    """The windows that two batches have written when the stream is stopped."""
+    path = own_path(s, "windows")
+    runs.run_some(windows.event_count(_replayed(s, d)[1]), runs.latest_windows(path), own_path(s, "checkpoint"), 2, "update")
+    return _time(runs.read_latest(s, path, ["window_start", "key"], "count"), "window_start")
+
+
+def _persisted(s: SparkSession, d: str) -> DataFrame:
+    """Each batch is kept while it is counted and written."""
+    path = own_path(s, "batches")
+    runs.run_batches(_replayed(s, d)[1], runs.Counter(sinks.snapshots(path)), own_path(s, "checkpoint"))
+    return s.read.parquet(f"{path}/part-*").groupBy("event_type").agg(F.count("*").alias("count"))
+
+
+def _back(s: SparkSession, name: str, write, read):
+    path = own_path(s, name)
+    write(path)
+    return read(path)
+
+
+def _coded(s: SparkSession, d: str) -> DataFrame:
+    rows = retrieval.term_frequencies(_docs(s, d)).where("term in ('the', 'and', 'la')").groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("p"))
+    return rows.select("term", F.col("p.doc_id").alias("ids"), F.col("p.tf").alias("counts")).select("term", encoded("ids", "counts").alias("data"))
+
+
+def _tbl(s: SparkSession, d: str) -> str:
+    """A folder with nation as delimited text."""
+    folder = own_path(s, "tbl")
+    load_table(s, d, "nation").selectExpr("concat_ws('|', n_nationkey, n_name, n_regionkey, 'none', '')").write.text(f"{folder}/nation.tbl")
+    return folder
+
+
+def _trips(s: SparkSession, d: str) -> DataFrame:
+    """The events as ragged lines of trips: yellow ones have the place in fields 10 and 11, others in 8 and 9."""
+    k = "get_json_object(props, '$.k')"
+    line = f"concat(IF(event_id % 2 = 0, 'yellow,,,', 'green,'), ',,,,,,,', value, ',', {k}, ',')"
+    return _back(s, "trips", lambda p: _events(s, d).selectExpr(line).write.text(p), lambda p: tables.text_lines(s, p))
+
+
+def _features_file(s: SparkSession, d: str) -> DataFrame:
+    line = "concat_ws(' ', o_orderkey, o_orderstatus, o_custkey, o_custkey % 10)"
+    return _back(s, "features", lambda p: load_table(s, d, "orders").selectExpr(line).write.text(p), lambda p: tables.labelled_features(s, p))
+
+
+def _weights(s: SparkSession, d: str) -> DataFrame:
+    return load_table(s, d, "part").select(F.col("p_partkey").cast("int").alias("feature"), F.col("p_retailprice").alias("weight"))
+
+
+def _adjacency(s: SparkSession, d: str) -> DataFrame:
+    edges = event_graph(s, d)[1]
+    lines = edges.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list("dst")), " ").alias("n")).select(F.concat_ws(" ", "src", "n"))
+    return _back(s, "graph", lambda p: lines.write.text(p), lambda p: graph.edges_from_adjacency(tables.adjacency(s, p))[1])
+
+
+def _bucketed(s: SparkSession, d: str) -> DataFrame:
+    """Edges stored in buckets by their start; two reads of them meet without a shuffle."""
+    name = "edges_" + uuid.uuid4().hex
+    graph.store_edges(event_graph(s, d)[1], name, 4)
+    try:
+        one, two = s.table(name), s.table(name)
+        return cut_lineage(one.join(two.groupBy("src").agg(F.count("*").alias("degree")), "src").select("src", "dst", "degree"))
+    finally:
+        s.sql(f"DROP TABLE {name}")
 
 
 def _sliding(s, d):
@@ -68,6 +166,14 @@ FROM (SELECT ts, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k F
 _H = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 _HOURLY = f"SELECT {_H.format('time_bucket(INTERVAL 60 MINUTES, ts)')} AS window_start, 'all' AS key, count(*) AS count FROM events GROUP BY ALL"
 _DISC = "l_extendedprice * (1 - l_discount)"
+#: The bytes of a non-negative integer below 2**24, as hexadecimal digits.
+_VINT = "CASE WHEN {0} < 128 THEN printf('%02X', {0}) WHEN {0} < 256 THEN '8F' || printf('%02X', {0}) WHEN {0} < 65536 THEN '8E' || printf('%04X', {0}) ELSE '8D' || printf('%06X', {0}) END"
+_NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+_PLACES = "SELECT event_id % 2 = 0 AS yellow, value AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS y FROM events"
+_WEIGHTS = "CAST(p_partkey AS INTEGER) AS feature, p_retailprice AS weight FROM part"
+
+_CLOSED = f"""WITH {CELLS} SELECT strftime(h + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, key, current, previous
+FROM trend JOIN (SELECT key, max(h) AS last FROM c0 GROUP BY key) USING (key) WHERE h < last"""
 
 PRIMITIVES = {
     # sources
@@ -78,7 +184,7 @@ PRIMITIVES = {
         f"WITH {_UNI}, n AS (SELECT word, count(*) AS count FROM (SELECT unnest(w) AS word FROM toks) GROUP BY word) SELECT word, count, c FROM n JOIN u USING (word)",
     ),
     "src11": (
-        lambda s, d: retrieval.build_index(_docs(s, d)).where(F.col("term").isin("the", "la")).select("term", "df"),
+        lambda s, d: stored_index(s, d, ["the", "la"]).groupBy("term").agg(F.max("df").alias("df")),
         f"WITH {TF} SELECT term, count(*) AS df FROM tf WHERE term IN ('the', 'la') GROUP BY term",
     ),
     "src12": (
@@ -86,6 +192,50 @@ PRIMITIVES = {
         "SELECT doc_id, CASE WHEN length(text) > 80 THEN text[1:80] || '...' ELSE text END AS snippet FROM documents",
     ),
     "src13": (_stream_counts, _HOURLY),
+    "src2": (lambda s, d: load_table(s, _tbl(s, d), "nation", "text").select("n_nationkey", "n_name", "n_regionkey"), _NATION),
+    "src4": (
+        lambda s, d: load_table(s, d, "nation").unionByName(load_table(s, _tbl(s, d), "nation", "text").drop("n_comment")),
+        f"{_NATION} UNION ALL {_NATION}",
+    ),
+    "src5": (lambda s, d: tables.trips(_trips(s, d)).select((F.col("kind") == "yellow").alias("yellow"), "x", "y"), _PLACES),
+    "src6": (
+        lambda s, d: _features_file(s, d).select("doc_id", "label", F.array_join("features", ",").alias("features")),
+        "SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderstatus AS label, o_custkey || ',' || o_custkey % 10 AS features FROM orders",
+    ),
+    "src7": (
+        lambda s, d: _back(s, "model", lambda p: sinks.write_tuples(_weights(s, d), p), lambda p: tables.read_weights(s, p, "m")),
+        f"SELECT 'm' AS model, {_WEIGHTS}",
+    ),
+    "src8": (_adjacency, f"WITH {EDGES} SELECT src, dst FROM edges"),
+    "src9": (_bucketed, f"WITH {EDGES} SELECT src, dst, count(*) OVER (PARTITION BY src) AS degree FROM edges"),
+    "src14": (
+        lambda s, d: trends.run_available(tables.trips(text_stream(s, _back(s, "trips", lambda p: _trips(s, d).write.text(p), str))).groupBy("kind").agg(F.count("*").alias("count")), "trip_counts", "complete"),
+        "SELECT CASE WHEN event_id % 2 = 0 THEN 'yellow' ELSE 'green' END AS kind, count(*) AS count FROM events GROUP BY 1",
+    ),
+    "prj5": (
+        lambda s, d: tables.trips(_trips(s, d)).select(F.col("kind"), F.round(F.col("x") + F.col("y"), 6).alias("xy")),
+        f"SELECT CASE WHEN yellow THEN 'yellow' ELSE 'green' END AS kind, round(x + y, 6) AS xy FROM ({_PLACES})",
+    ),
+    # sinks, read back
+    "snk1": (
+        lambda s, d: _back(s, "text", lambda p: sinks.write_text(load_table(s, d, "region"), p), lambda p: s.read.text(p)),
+        "SELECT r_regionkey || chr(9) || r_name AS value FROM region",
+    ),
+    "snk2": (lambda s, d: _back(s, "table", lambda p: sinks.write_table(load_table(s, d, "nation"), p, ["n_regionkey"]), lambda p: s.read.parquet(p)), _NATION),
+    "snk3": (
+        lambda s, d: _back(s, "sorted", lambda p: sinks.write_sorted(_weights(s, d), p, "feature", 4), lambda p: s.read.parquet(p)),
+        f"SELECT {_WEIGHTS}",
+    ),
+    "snk4": (
+        lambda s, d: _back(s, "tuples", lambda p: sinks.write_tuples(_weights(s, d).select("feature"), p), lambda p: s.read.text(p)),
+        "SELECT '(' || p_partkey || ')' AS value FROM part",
+    ),
+    "snk5": (_restarted_counts, _HOURLY),
+    "snk6": (_stream_trends, _CLOSED),
+    "snk8": (
+        lambda s, d: _back(s, "twice", lambda p: [sinks.write_table(load_table(s, d, t), p) for t in ("region", "nation")], lambda p: s.read.parquet(p)),
+        _NATION,
+    ),
     # sinks that are relations here
     "snk9": (
         lambda s, d: _rounded(p9(s, d).groupBy("source").agg(F.sum("rank").alias("mass")), mass=6),
@@ -156,16 +306,17 @@ PRIMITIVES = {
         f"SELECT l_orderkey AS orderkey, p_name, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE strftime(l_shipdate, '%Y-%m') = '{MONTH}'",
     ),
     "jn5": (
-        lambda s, d: load_table(s, d, "customer").join(load_table(s, d, "nation").where("n_nationkey < 10"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        lambda s, d: load_table(s, d, "customer").join(load_table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .select("c_custkey", F.coalesce("n_name", F.lit("")).alias("n_name")),
-        "SELECT c_custkey, coalesce(n_name, '') AS n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 10) ON c_nationkey = n_nationkey",
+        "SELECT c_custkey, coalesce(n_name, '') AS n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",
     ),
     "jn6": BASE["q4"],
     "jn7": BASE["p4"],
     "jn8": BASE["p9"],
     "jn9": (
-        lambda s, d: graph.missing_targets(event_graph(s, d)[0].where("node % 5 <> 0"), event_graph(s, d)[1]).select("src", "dst"),
-        f"WITH {EDGES} SELECT src, dst FROM edges WHERE dst NOT IN (SELECT node FROM nodes WHERE node % 5 <> 0)",
+        # Targets that start no edge themselves.
+        lambda s, d: graph.missing_targets((e := event_graph(s, d)[1]).select(F.col("src").alias("node")).distinct(), e).select("src", "dst"),
+        f"WITH {EDGES} SELECT src, dst FROM edges WHERE dst NOT IN (SELECT src FROM edges)",
     ),
     "jn10": BASE["c2"],
     "jn11": (
@@ -225,7 +376,7 @@ PRIMITIVES = {
         lambda s, d: retrieval.term_frequencies(_docs(s, d)).repartition(4, "term").sortWithinPartitions("term", "doc_id"),
         f"WITH {TF} SELECT term, doc_id, tf FROM tf",
     ),
-    "srt6": (lambda s, d: classify.train_sgd(samples(s, d, None), "doc_id", shuffle_seed=7), None),
+    "srt6": (lambda s, d: _rounded(classify.train_sgd(samples(s, d), "doc_id", shuffle_seed=7), weight=9), sgd_sql("md5(doc_id || ':7')")),
     "srt7": BASE["q5"],
     # sets
     "set1": (
@@ -271,12 +422,20 @@ PRIMITIVES = {
         lambda s, d: _events(s, d).select("event_id", F.format_string("%08d", "event_id").alias("a"), F.format_string("%04d", "user_id").alias("b")),
         "SELECT event_id, printf('%08d', event_id) AS a, printf('%04d', user_id) AS b FROM events",
     ),
+    "fn10": (
+        lambda s, d: graph.partition_graph(event_graph(s, d)[0], 8).groupBy("node").agg(F.count_distinct("partition").alias("partitions")),
+        f"WITH {EDGES} SELECT node, 1 AS partitions FROM nodes",
+    ),
     "fn11": BASE["p8"],
     "fn12": (
-        lambda s, d: retrieval.term_frequencies(_docs(s, d)).where("term in ('the', 'and', 'la')").groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("p"))
-        .select("term", F.explode(decoded_ids(encoded(F.col("p.doc_id"), F.col("p.tf")))).alias("doc_id")),
+        lambda s, d: _coded(s, d).select("term", F.explode(decoded_ids("data")).alias("doc_id")),
         f"WITH {TF} SELECT term, doc_id FROM tf WHERE term IN ('the', 'and', 'la')",
     ),
+    "fn12_bytes": (
+        lambda s, d: _coded(s, d).select("term", F.hex("data").alias("bytes")),
+        f"""WITH {TF}, g AS (SELECT *, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS gap FROM tf WHERE term IN ('the', 'and', 'la'))
+SELECT term, string_agg({_VINT.format('gap')} || {_VINT.format('tf')}, '' ORDER BY doc_id) AS bytes FROM g GROUP BY term""",
+    ),
     "fn13": (
         lambda s, d: samples(s, d).select(
             "doc_id", F.size("features").cast("long").alias("n"), F.array_join(F.slice("features", 2, 3), " ").alias("some"),
@@ -311,7 +470,12 @@ PRIMITIVES = {
 g AS (SELECT region, unnest(generate_series(min(h), (SELECT max(h) FROM c0), INTERVAL 1 HOUR)) AS h FROM c0 GROUP BY region)
 SELECT {_H.format('h')} AS window_start, region, coalesce(c, 0) AS count FROM g LEFT JOIN c0 USING (region, h)""",
     ),
-    "str7": (_stream_trends, None),
+    "str7": (_stream_trends, _CLOSED),
     "str8": BASE["t3_alerts"],
     "str9": BASE["t3"],
+    "str10": (_restarted_counts, _HOURLY),
+    "str11": (_counted_batches, f"SELECT count(DISTINCT CASE {' '.join(f'WHEN day(ts) < {x} THEN {i}' for i, x in enumerate(_CUTS[1:]))} END) AS batches, count(*) AS events FROM events"),
+    "str12": (_stopped, _HOURLY.replace("FROM events", f"FROM events WHERE day(ts) < {_CUTS[2]}")),
+    "str13": (_persisted, "SELECT event_type, count(*) AS count FROM events GROUP BY 1"),
+    "agg14": BASE["t1"],
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import lines as lines_of
 from sparkloom.functions.text import tokens
 from sparkloom.operators import classify, graph, relational, retrieval, words
+from sparkloom.plans.lineage import own_path
 from sparkloom.sources.tables import load_table
 from sparkloom.streaming import windows
 
@@ -24,10 +25,10 @@ TOKENS = r"list_filter(list_transform(string_split_regex(lower({0}), '\s+'), lam
 TOKENIZED = f"{LINES}, toks AS (SELECT doc_id, line_no, {TOKENS.format('line')} AS w FROM lines)"
 BIGRAMS = f"{TOKENIZED}, big AS (SELECT w[i] AS l, w[i + 1] AS r FROM (SELECT w, unnest(range(1, len(w))) AS i FROM toks))"
 TF = f"tf AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY ALL)"
-EDGES = """e0 AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'error'),
+EDGES = """e0 AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'error'),
 edges AS (SELECT DISTINCT src, dst FROM e0 WHERE dst IS NOT NULL AND src <> dst),
 nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)"""
-SAMPLES = f"""s0 AS (SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'spam' ELSE 'ham' END AS label, list_slice({TOKENS.format('text')}, 1, 40) AS f
+SAMPLES = f"""s0 AS (SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'spam' ELSE 'ham' END AS label, {TOKENS.format('text')} AS f
   FROM documents d JOIN labels l USING (doc_id)),
 occ AS (SELECT doc_id, label, unnest(f) AS feature FROM s0)"""
 CELLS = """c0 AS (SELECT event_type AS key, time_bucket(INTERVAL 60 MINUTES, ts) AS h, count(*) AS c FROM events GROUP BY ALL),
@@ -47,21 +48,20 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges between the users of consecutive errors."""
+    """Nodes and edges between the users of consecutive errors of a day."""
     from pyspark.sql import Window
 
     errors = load_table(spark, sf, "events").where("event_type = 'error'")
-    nxt = F.lead("user_id").over(Window.orderBy("ts", "event_id"))
+    nxt = F.lead("user_id").over(Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
     edges = errors.select(F.col("user_id").alias("src"), nxt.alias("dst")).where("dst is not null and src <> dst").distinct()
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), edges
 
 
-def samples(spark: SparkSession, sf: str, words: int | None = 40) -> DataFrame:
-    """Labelled documents; features are the first ``words`` words, or all where that is None, repeats counted."""
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents; features are all words of the text, repeats counted."""
     docs, labels = _t(spark, sf, "documents", "labels")
     label = F.when(F.col("toxic") == 1, "spam").otherwise("ham").alias("label")
-    features = tokens("text") if words is None else F.slice(tokens("text"), 1, words)
-    return docs.join(labels, "doc_id").select("doc_id", label, features.alias("features"))
+    return docs.join(labels, "doc_id").select("doc_id", label, tokens("text").alias("features"))
 
 
 def fold_models(rows: DataFrame) -> DataFrame:
@@ -70,6 +70,13 @@ def fold_models(rows: DataFrame) -> DataFrame:
     return graph.unite(parts).select("model", "feature", "weight")
 
 
+def stored_index(spark: SparkSession, sf: str, terms: list[str]) -> DataFrame:
+    """The rows of some terms in an index that is built, stored by term and looked up."""
+    path = own_path(spark, "index")
+    retrieval.store_index(retrieval.build_index(load_table(spark, sf, "documents")), path)
+    return retrieval.look_up(spark, path, terms)
+
+
 def _rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
@@ -87,18 +94,33 @@ def p9(spark: SparkSession, sf: str) -> DataFrame:
     return graph.personalized_pagerank(nodes, edges, SOURCES, STEPS)
 
 
-def _ppr_sql() -> str:
-    sql = f"WITH {EDGES}, src AS (SELECT unnest({SOURCES}) AS source), deg AS (SELECT src, count(*) AS d FROM edges GROUP BY src),\n"
+def _ppr_sql(sources: list[int] = SOURCES, steps: int = STEPS, alpha: float = 0.15) -> str:
+    sql = f"WITH {EDGES}, src AS (SELECT unnest({sources}) AS source), deg AS (SELECT src, count(*) AS d FROM edges GROUP BY src),\n"
     sql += "r0 AS (SELECT source, node, CASE WHEN source = node THEN 1.0::DOUBLE ELSE 0 END AS p FROM src, nodes)"
-    for k in range(STEPS):
+    for k in range(steps):
         sql += f""",
 m{k} AS (SELECT r.source, e.dst AS node, sum(r.p / d) AS m FROM r{k} r JOIN edges e ON r.node = e.src JOIN deg USING (src) GROUP BY ALL),
 x{k} AS (SELECT source, greatest(0, 1 - sum(m)) AS lost FROM m{k} GROUP BY source),
-r{k + 1} AS (SELECT r.source, r.node, 0.85 * coalesce(m, 0) + CASE WHEN r.source = r.node THEN 0.15 + 0.85 * coalesce(lost, 1) ELSE 0 END AS p
+r{k + 1} AS (SELECT r.source, r.node, {1 - alpha} * coalesce(m, 0) + CASE WHEN r.source = r.node THEN {alpha} + {1 - alpha} * coalesce(lost, 1) ELSE 0 END AS p
   FROM r{k} r LEFT JOIN m{k} m USING (source, node) LEFT JOIN x{k} USING (source))"""
     return sql
 
 
+def sgd_sql(order: str) -> str:
+    """One pass of gradient steps: a score is the sum of all steps before, weighted by the words that two samples share."""
+    return f"""WITH RECURSIVE {SAMPLES},
+n0 AS (SELECT doc_id, label, row_number() OVER (ORDER BY {order}, doc_id) AS i FROM s0),
+c AS (SELECT i, feature, count(*) AS n FROM occ JOIN n0 USING (doc_id) GROUP BY ALL),
+pair AS (SELECT a.i, b.i AS j, sum(a.n * b.n) AS k FROM c a JOIN c b ON a.feature = b.feature AND a.i > b.i GROUP BY ALL),
+row_ AS (SELECT x.i, x.label, list(coalesce(k, 0)::DOUBLE ORDER BY y.i) FILTER (y.i IS NOT NULL) AS ks
+  FROM n0 x LEFT JOIN n0 y ON y.i < x.i LEFT JOIN pair ON pair.i = x.i AND pair.j = y.i GROUP BY ALL),
+r(i, steps) AS (SELECT 0::BIGINT, []::DOUBLE[] UNION ALL
+  SELECT x.i, list_append(steps, 0.002 * (CASE WHEN label = 'spam' THEN 1 ELSE 0 END - 1 / (1 + exp(-CASE WHEN x.i = 1 THEN 0 ELSE list_inner_product(steps, ks) END))))
+  FROM r JOIN row_ x ON x.i = r.i + 1),
+step AS (SELECT unnest(range(1, len(steps) + 1)) AS i, unnest(steps) AS step FROM (SELECT steps FROM r ORDER BY i DESC LIMIT 1))
+SELECT feature, round(sum(n * step), 9) AS weight FROM c JOIN step USING (i) GROUP BY feature"""
+
+
 BASE = {
     "p1": (
         lambda s, d: words.word_count(_lines(s, d)),
@@ -122,13 +144,14 @@ SELECT p.x, p.y, round(log10((count / n) / ((ux.c / n) * (uy.c / n))), 6) AS pmi
     ),
     "p5": (
         lambda s, d: retrieval.build_index(load_table(s, d, "documents")).select(
-            "term", "df", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p.doc_id, p.gap, p.tf)), " ").alias("postings")
+            "term", "block", "df", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p.doc_id, p.gap, p.tf)), " ").alias("postings")
         ),
-        f"""WITH {TF}, g AS (SELECT *, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS gap FROM tf)
-SELECT term, count(*) AS df, string_agg(doc_id || ':' || gap || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM g GROUP BY term""",
+        f"""WITH {TF}, b AS (SELECT *, CAST(floor(doc_id / 65536) AS BIGINT) AS block FROM tf), n AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+g AS (SELECT *, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term, block ORDER BY doc_id) AS gap FROM b)
+SELECT term, block, any_value(df) AS df, string_agg(doc_id || ':' || gap || ':' || tf, ' ' ORDER BY doc_id) AS postings FROM g JOIN n USING (term) GROUP BY term, block""",
     ),
     "p6": (
-        lambda s, d: retrieval.boolean_query(retrieval.build_index(docs := load_table(s, d, "documents")), docs, QUERY),
+        lambda s, d: retrieval.boolean_query(stored_index(s, d, QUERY.split()), load_table(s, d, "documents"), QUERY),
         f"""WITH {TF}, hit AS (SELECT doc_id FROM tf GROUP BY doc_id
   HAVING bool_or(term = 'thou') AND bool_or(term = 'the') OR bool_or(term = 'la'))
 SELECT doc_id, CASE WHEN length(text) > 80 THEN text[1:80] || '...' ELSE text END AS snippet FROM documents JOIN hit USING (doc_id)""",
@@ -144,7 +167,7 @@ SELECT doc_id, CASE WHEN length(text) > 80 THEN text[1:80] || '...' ELSE text EN
     "p9": (lambda s, d: _rounded(p9(s, d), rank=6), _ppr_sql() + f"\nSELECT source, node, round(p, 6) AS rank FROM r{STEPS}"),
     "p10": (
         lambda s, d: _rounded(graph.personalized_pagerank(*event_graph(s, d), [8], 2, 0.2), rank=6),
-        None,
+        _ppr_sql([8], 2, 0.2) + "\nSELECT source, node, round(p, 6) AS rank FROM r2",
     ),
     "p11": (
         lambda s, d: graph.top_ppr(_rounded(p9(s, d), rank=9), 10).withColumn("rn", F.col("rn").cast("long")),
@@ -188,7 +211,7 @@ FROM lineitem WHERE strftime(l_shipdate, '%Y-%m') = '{MONTH}' GROUP BY ALL""",
 o_orderpriority AS payload FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 WHERE strftime(l_shipdate, '%Y-%m-%d') > '{DATE}' AND strftime(o_orderdate, '%Y-%m-%d') > '{DATE}' GROUP BY ALL ORDER BY sum(l_extendedprice * (1 - l_discount)) DESC, 2 LIMIT 10""",
     ),
-    "c1": (lambda s, d: classify.train_sgd(samples(s, d, None), "doc_id"), None),
+    "c1": (lambda s, d: _rounded(classify.train_sgd(samples(s, d), "doc_id"), weight=9), sgd_sql("doc_id")),
     "c2": (
         lambda s, d: _rounded(classify.apply_classifier(r := samples(s, d), classify.batch_weights(r)), score=9),
         f"""WITH {SAMPLES}, w AS (SELECT feature, sum(CASE WHEN label = 'spam' THEN 0.5::DOUBLE ELSE -0.5 END) * 0.002 AS weight FROM occ GROUP BY feature),
