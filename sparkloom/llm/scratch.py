@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; set here only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        found = spark.sparkContext.getCheckpointDir()
-        folder = found.rsplit("/", 1)[0] if found else "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from sparkloom.plans.lineage import shared_folder
 
 
 #: Drops the shuffle files of a query when it ends; a table that has been cut needs them no more.
