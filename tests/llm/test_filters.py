@@ -87,12 +87,14 @@ def chained(*parts):
 def line_features(norm):
     """Blocks and SimHash of a normalised line."""
     w = norm.split(" ")
-    h, n = [(chained(x) % 2**64 >> 2) | (0 if len(x) >= 6 else 1 << 62) for x in w], len(w)
-    first = sorted(set(h))[:8]
-    keys = {chained([x, [*h, 0][h.index(x) + 1]]) for x in first}
+    h, n = [(chained(x) % 2**64 >> 2) | (0 if len(x) >= 5 else 1 << 62) for x in w], len(w)
+    at = [h.index(x) for x in sorted(set(h))[:8]]
+    keys = {chained([h[i], [*h, 0][i + 1]], [*w, "", ""][i + 2][:1]) for i in at}
     if n < 8:
         keys |= {chained(3, h[:i] + h[i + 1 :]) for i in range(n + 1)}
-    return keys, sum((2 * sum(x >> b & 1 for x in h) > n) << b for b in range(64) if b % 8 < 4)
+    g = [x for x in h if x < 1 << 62]
+    g = g if len(g) >= 5 else h
+    return keys, sum((2 * sum(x >> b & 1 for x in g) > len(g)) << b for b in range(64))
 
 
 def distance(a, b):
@@ -126,8 +128,7 @@ def test_line_dedup(table, texts):
             a, b = names[x], names[y]
             most = 0.1 * max(len(a), len(b))
             (ka, sa), (kb, sb) = nodes[a], nodes[b]
-            bits = (sa ^ sb).bit_count()
-            if (ka & kb and bits <= 9 or len(ka & kb) > 1 and bits <= 14) and abs(len(a) - len(b)) <= most and distance(a, b) <= int(most + 1e-9):
+            if ka & kb and (sa ^ sb).bit_count() <= 26 and abs(len(a) - len(b)) <= most and distance(a, b) <= int(most + 1e-9):
                 up[find(a)] = find(b)
     first, want = {}, collections.defaultdict(list)
     for i, no, n in sorted(occurrences):
