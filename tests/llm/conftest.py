@@ -8,7 +8,7 @@ def table(spark):
     def make(rows, extra=True):
         df = spark.createDataFrame([(i, t, s) for i, t, *s_ in rows for s in [s_[0] if s_ else "s"]], "doc_id bigint, text string, source string")
         if extra:
-            for c in ("n", "sig", "name", "head", "n_words", "copies", "size", "spans", "row", "t", "h", "w", "component", "class_id"):
+            for c in ("n", "sig", "name", "head", "n_words", "copies", "size", "spans", "row", "t", "h", "w", "component", "class_id", "u", "b_t", "b_host", "_nos", "_id", "_s", "_words", "d", "id", "no", "at", "words", "nr", "key"):
                 df = df.selectExpr("*", f"'x' AS {c}")
         return df
 

@@ -237,3 +237,27 @@ def test_pipeline(spark, tmp_path, table):
     assert kept["mixing"] <= kept["decontamination"]
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert {(x.doc_id, x.copies) for x in final.collect()} == {(x.doc_id, x.copies) for x in now.collect()}
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path, table):
+    """Every stage on an empty table, with clashing names, nulls and repeated rows."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, "nothing of these documents")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(1, long, "a"), (1, long, "a"), (2, other, "b"), (2, f"{other} more", "b"), (3, None, None), (4, "", "a")]
+    docs = table(rows).selectExpr("*", "'en' as lang", "cast(length(text) as bigint) as n_chars", "'x' as target", "'y' as taken", "'z' as _n_removed_lines")
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.where("false"), str(tmp_path))
+        out = stage(spark, docs, str(tmp_path))
+        assert empty.count() == 0 and len(set(out.columns)) == len(out.columns)
+        got[name] = sorted((r.doc_id, r.text or "") for r in out.collect())
+        if name != "mixing":
+            assert empty.columns == out.columns == docs.columns and {r.t for r in out.collect()} <= {"x"}
+    assert got["quality_rules"] == [(1, long), (1, long), (2, other), (2, f"{other} more")]
+    assert [r for r in got["line_dedup"] if r[0] == 1] == [(1, long)] * 2
+    assert got["ngram_jaccard_join"] == [(1, long), (2, other), (3, ""), (4, "")]
+    assert got["decontamination"] == sorted((i, t or "") for i, t, _ in rows)
+    taken = collections.Counter(r[0] for r in got["mixing"])
+    assert set(taken) <= {1, 2, 4} and taken[1] <= 2 and taken[2] <= 2 and taken[4] <= 1
