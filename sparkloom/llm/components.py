@@ -22,8 +22,8 @@ def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 1
     """Component of every node that has a link.
 
     links: columns a, b (long); duplicates, both directions and a = b allowed.
-    Returns node, component (the smallest node reachable).  An empty input
-    gives an empty table.  Each round is two map-side combined minima and
+    Returns node, component (the smallest node reachable), a table of ``scratch``.
+    An empty input gives an empty table.  Each round is two map-side combined minima and
     equi-joins with one row for each node on one side; it ends when a round
     changes nothing.  The number of rounds grows with the logarithm of the
     longest path; stars take two.  Nothing but a count and a checksum reaches
@@ -50,4 +50,6 @@ def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 1
     else:
         raise RuntimeError("components did not settle")
     top = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(top)
+    out = scratch.cut(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(top))
+    scratch.drop(edges)
+    return out

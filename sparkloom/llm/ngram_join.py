@@ -208,15 +208,15 @@ class _Join:
             *dealt.columns, F.coalesce("component", "doc_id").alias("comp")
         )
 
-    def open_groups(self, dealt: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, int, int]:
-        """Rows of groups that hold several components, their number, and pairs between components."""
+    def open_groups(self, dealt: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, int, int, list[DataFrame]]:
+        """Rows of groups that hold several components, their number, pairs between components, and tables to drop after use."""
         rows = self.scratch.cut(self.labelled(dealt, labels))
         sizes = rows.groupBy("name", "comp").agg(F.count("*").alias("k"))
         groups = sizes.groupBy("name").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q")).where("s * s > q")
         groups = self.scratch.cut(groups)
         total = groups.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
         live = rows.join(groups.select("name"), "name", "left_semi")
-        return live, int(total[0] or 0), int(total[1] or 0)
+        return live, int(total[0] or 0), int(total[1] or 0), [rows, groups]
 
     def star_pairs(self, live: DataFrame, k: int) -> DataFrame:
         """Each document with the hub of the groups it is in; one partner each."""
@@ -268,15 +268,17 @@ class _Join:
     def components(self, dealt: DataFrame) -> DataFrame:
         labels = None
         for k in range(STAR_ROUNDS + 1):
-            live, rows, cross = self.open_groups(dealt, labels)
+            live, rows, cross, used = self.open_groups(dealt, labels)
             if rows == 0:
                 break
             last = k == STAR_ROUNDS or k > 0 and cross <= rows
             pairs = self.scratch.cut(self.all_pairs(live) if last else self.star_pairs(live, k))
-            links = self.verify(pairs)
+            self.scratch.drop(*used)
+            links = known = self.verify(pairs)
             if labels is not None:  # what is known is a star for each component
                 links = links.union(labels.where("node <> component"))
-            labels = self.scratch.cut(connected_components(links, self.scratch))
+            before, labels = labels, connected_components(links, self.scratch)
+            self.scratch.drop(pairs, known, *([before] if before is not None else []))
             if last:
                 break
         if labels is None:
