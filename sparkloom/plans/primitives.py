@@ -141,6 +141,11 @@ def _adjacency(s: SparkSession, d: str) -> DataFrame:
     return _back(s, "graph", lambda p: lines.write.text(p), lambda p: graph.edges_from_adjacency(tables.adjacency(s, p))[1])
 
 
+def _returned(s: SparkSession, d: str) -> DataFrame:
+    """Edges from suppliers to the parts that came back."""
+    return _item(s, d).where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+
+
 def _bucketed(s: SparkSession, d: str) -> DataFrame:
     """Edges stored in buckets by their start; two reads of them meet without a shuffle."""
     name = "edges_" + uuid.uuid4().hex
@@ -314,9 +319,9 @@ PRIMITIVES = {
     "jn7": BASE["p4"],
     "jn8": BASE["p9"],
     "jn9": (
-        # Targets that start no edge themselves.
-        lambda s, d: graph.missing_targets((e := event_graph(s, d)[1]).select(F.col("src").alias("node")).distinct(), e).select("src", "dst"),
-        f"WITH {EDGES} SELECT src, dst FROM edges WHERE dst NOT IN (SELECT src FROM edges)",
+        # Returned parts whose number is no supplier's.
+        lambda s, d: graph.missing_targets(load_table(s, d, "supplier").select(F.col("s_suppkey").alias("node")), _returned(s, d)).select("src", "dst"),
+        "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_partkey NOT IN (SELECT s_suppkey FROM supplier)",
     ),
     "jn10": BASE["c2"],
     "jn11": (

@@ -109,10 +109,10 @@ r{k + 1} AS (SELECT r.source, r.node, {1 - alpha} * coalesce(m, 0) + CASE WHEN r
 def sgd_sql(order: str) -> str:
     """One pass of gradient steps: a score is the sum of all steps before, weighted by the words that two samples share."""
     return f"""WITH RECURSIVE {SAMPLES},
-n0 AS (SELECT doc_id, label, row_number() OVER (ORDER BY {order}, doc_id) AS i FROM s0),
-c AS (SELECT i, feature, count(*) AS n FROM occ JOIN n0 USING (doc_id) GROUP BY ALL),
-pair AS (SELECT a.i, b.i AS j, sum(a.n * b.n) AS k FROM c a JOIN c b ON a.feature = b.feature AND a.i > b.i GROUP BY ALL),
-row_ AS (SELECT x.i, x.label, list(coalesce(k, 0)::DOUBLE ORDER BY y.i) FILTER (y.i IS NOT NULL) AS ks
+n0 AS MATERIALIZED (SELECT doc_id, label, row_number() OVER (ORDER BY {order}, doc_id) AS i FROM s0),
+c AS MATERIALIZED (SELECT i, feature, count(*) AS n FROM occ JOIN n0 USING (doc_id) GROUP BY ALL),
+pair AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.n * b.n) AS k FROM c a JOIN c b ON a.feature = b.feature AND a.i > b.i GROUP BY ALL),
+row_ AS MATERIALIZED (SELECT x.i, x.label, list(coalesce(k, 0)::DOUBLE ORDER BY y.i) FILTER (y.i IS NOT NULL) AS ks
   FROM n0 x LEFT JOIN n0 y ON y.i < x.i LEFT JOIN pair ON pair.i = x.i AND pair.j = y.i GROUP BY ALL),
 r(i, steps) AS (SELECT 0::BIGINT, []::DOUBLE[] UNION ALL
   SELECT x.i, list_append(steps, 0.002 * (CASE WHEN label = 'spam' THEN 1 ELSE 0 END - 1 / (1 + exp(-CASE WHEN x.i = 1 THEN 0 ELSE list_inner_product(steps, ks) END))))
