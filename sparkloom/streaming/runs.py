@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,14 +68,19 @@ def run_batches(stream: DataFrame, write: Write, checkpoint: str, mode: str = "a
 
 
 def run_some(stream: DataFrame, write: Write, checkpoint: str, batches: int, mode: str = "append", timeout: int = 300) -> None:
-    """Runs a stream until so many batches have been written, and stops it; later batches leave no trace."""
-    done = 0
+    """Runs a stream until so many batches have been written, and stops it; later batches leave no trace.
+
+    A batch that begins too late is refused, so it is not committed to the checkpoint unread: a restart takes it up again.
+    """
+    done, refused = 0, False
 
     def counted(df: DataFrame, batch: int) -> None:
-        nonlocal done
-        if done < batches:
-            write(df, batch)
-            done += 1
+        nonlocal done, refused
+        if done >= batches:
+            refused = True
+            raise StopIteration(f"{batches} batches are written")
+        write(df, batch)
+        done += 1
 
     query = stream.writeStream.foreachBatch(counted).outputMode(mode).option("checkpointLocation", checkpoint).start()
     end = time.time() + timeout
@@ -85,5 +91,8 @@ def run_some(stream: DataFrame, write: Write, checkpoint: str, batches: int, mod
             query.awaitTermination(1)
         if query.exception():
             raise query.exception()
+    except StreamingQueryException:
+        if not refused:
+            raise
     finally:
         query.stop()

@@ -13,7 +13,7 @@ from sparkloom.functions.text import lines, snippet, tokens
 from sparkloom.operators import classify, graph, relational, retrieval, words
 from sparkloom.plans import catalog
 from sparkloom.sources import sinks, tables
-from sparkloom.streaming import trends, windows
+from sparkloom.streaming import runs, trends, windows
 
 
 def frame(spark, rows, schema):
@@ -220,6 +220,20 @@ def test_count_stream_equals_batch(spark, tmp_path):
     assert rows(got) == rows(windows.event_count(df, size="10 minutes"))
 
 
+def test_stopped_stream_goes_on_where_it_ended(spark, tmp_path):
+    """str12: batches that begin before the stop is noticed are neither an error nor lost to a restart."""
+    folder = str(tmp_path / "events")
+    for day in range(1, 9):
+        frame(spark, [(f"2024-01-0{day} 10:00:00",)] * day, "ts string").select(F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+    counts = windows.event_count(runs.file_stream(spark, folder, spark.read.parquet(folder).schema))
+    path, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    run = lambda: sorted(r["count"] for r in runs.read_latest(spark, path, ["window_start", "key"], "count").collect())
+    runs.run_some(counts, runs.latest_windows(path), checkpoint, 2, "update")
+    assert run() == [1, 2]
+    runs.run_batches(counts, runs.latest_windows(path), checkpoint, "update")
+    assert run() == list(range(1, 9))
+
+
 def test_tbl_equals_parquet(spark, tmp_path, sf_dir):
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     nation.selectExpr("concat_ws('|', n_nationkey, n_name, n_regionkey, 'no comment', '')").coalesce(1).write.text(str(tmp_path / "nation.tbl"))
