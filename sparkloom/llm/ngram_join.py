@@ -80,12 +80,22 @@ def _repeated_names(n: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s for _, s in _sets(batch, n)]
-            names, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield from _slices([signed(names[times > 1]), times[times > 1].astype(np.int64)], ["name", "c"])
+            names = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            del sets
+            names.sort()  # in place: a batch has millions of names
+            names, times = np.unique(names[np.r_[names[1:] == names[:-1], False] | np.r_[False, names[1:] == names[:-1]]] if len(names) else names, return_counts=True)
+            yield from _slices([signed(names), times.astype(np.int64)], ["name", "c"])
 
     return run
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, whose results take less memory at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _slices(columns: list[np.ndarray], names: list[str], size: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(columns[0]), size):
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in columns], names)
@@ -96,7 +106,7 @@ def _summaries(n: int, percent: int, common) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = common.value
-        for batch in batches:
+        for batch in _parts(batches):
             size, sig, prefix, rare = [], [], [], []
             for _, s in _sets(batch, n):
                 size.append(len(s))
@@ -129,7 +139,7 @@ def _fragments(n: int) -> Callable:
     shift = np.uint64(64 - FRAGMENTS.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             doc, part, seg = [], [], []
             for i, own in _sets(batch, n):
@@ -147,7 +157,7 @@ def _fragments(n: int) -> Callable:
 
 
 def _partial_overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         (ra, oa), (rb, ob) = row_bytes(batch.column("seg_a")), row_bytes(batch.column("seg_b"))
         x, y = np.frombuffer(ra.tobytes(), np.uint64), np.frombuffer(rb.tobytes(), np.uint64)
         oa, ob = oa // 8, ob // 8

@@ -179,6 +179,21 @@ def test_line_dedup_recall(table):
     assert sum(x._n_removed_lines for x in line_dedup(table(rows)).collect()) == len(got)
 
 
+def test_line_pairs_in_slices(table, monkeypatch):
+    """op8: pairs travel with their texts in slices of a bounded number, and every pair is in one; texts that only share letters are told apart."""
+    from sparkloom.llm import line_dedup as op8
+
+    monkeypatch.setattr(op8, "SLICE", 1)
+    norms = [f"some words of a line that number {i} is the only other thing in" for i in range(12)] + [" ".join("abcdefgh"[i:] + "abcdefgh"[:i]) for i in range(4)]
+    spark = table([]).sparkSession
+    texts = spark.createDataFrame(list(enumerate(norms)), "id long, norm string")
+    pairs = [(a, b) for a in range(len(norms)) for b in range(a + 1, len(norms))]
+    run = op8._Lines(table([]), 5, 0.9)
+    slices = run.linked(spark.createDataFrame(pairs, "a long, b long"), texts)
+    want = [(a, b) for a, b in pairs if distance(norms[a], norms[b]) <= 0.1 * max(len(norms[a]), len(norms[b]))]
+    assert len(slices) == 8 and sorted((r.a, r.b) for s in slices for r in s.collect()) == want and 0 < len(want) < len(pairs)
+
+
 def test_line_dedup_long_lines(table):
     """All words count at any length, and a line of one word value is a node like others."""
     import random
