@@ -194,6 +194,36 @@ def test_line_pairs_in_slices(table, monkeypatch):
     assert len(slices) == 8 and sorted((r.a, r.b) for s in slices for r in s.collect()) == want and 0 < len(want) < len(pairs)
 
 
+def test_line_pairs_by_their_rare_letters(table, monkeypatch):
+    """op8: pairs are told apart by their rare letters before whole texts travel, and none that is similar is lost; long texts are compared in pieces."""
+    import random
+
+    from sparkloom.llm import line_dedup as op8
+
+    r = random.Random(4)
+    monkeypatch.setattr(op8, "LONG_LINE", 100)
+    prose = lambda n: " ".join("".join(r.choices("etanorhisdlu", k=r.randint(1, 9))) for _ in range(n))
+    norms = []
+    for words in (8, 30, 90, 300):
+        base = prose(words)
+        for edits in (0, 20, 11, 10, 9):
+            line = list(base)
+            for _ in range(len(base) // edits if edits else 0):
+                at = r.randrange(len(line))
+                line[at : at + r.randrange(2)] = r.choice(["", "x", "e"])
+            norms.append("".join(line))
+        norms += [prose(words) for _ in range(3)] + [base[len(base) // 15 :], base + base[: len(base) // 8]]
+    spark = table([]).sparkSession
+    texts = spark.createDataFrame(list(enumerate(norms)), "id long, norm string")
+    close = [(a, b) for b in range(len(norms)) for a in range(b) if abs(len(norms[a]) - len(norms[b])) <= 0.1 * max(len(norms[a]), len(norms[b]))]
+    run = op8._Lines(table([]), 5, 0.9)
+    pairs = spark.createDataFrame(close, "a long, b long")
+    possible = {tuple(x) for x in run.possible(pairs, texts).collect()}
+    want = {(a, b) for a, b in close if distance(norms[a], norms[b]) <= int(0.1 * max(len(norms[a]), len(norms[b])) + 1e-9)}
+    assert want <= possible < set(close) and want
+    assert {tuple(x) for s in run.linked(pairs, texts) for x in s.collect()} == want
+
+
 def test_line_dedup_long_lines(table):
     """All words count at any length, and a line of one word value is a node like others."""
     import random
