@@ -224,6 +224,39 @@ def test_line_pairs_by_their_rare_letters(table, monkeypatch):
     assert {tuple(x) for s in run.linked(pairs, texts) for x in s.collect()} == want
 
 
+def test_line_pairs_make_no_rows(table, monkeypatch):
+    """op8, pipeline: copies of one line that are too far from each other make no table of their pairs, and no link is lost, in parts of blocks and classes of length."""
+    import random
+
+    from sparkloom.llm import line_dedup as op8
+
+    r = random.Random(6)
+    vocab = ["".join(r.choices("abcdefghij", k=r.randint(3, 9))) for _ in range(500)]
+    base, lines = r.choices(vocab, k=24), []
+    for i in range(70):
+        words = list(base)
+        for _ in range(3):
+            words[r.randrange(len(words))] = r.choice(vocab)
+        lines.append(" ".join(words + r.choices(vocab, k=i % 3)))
+    lines += [x[: -(i % 3) - 1] for i, x in enumerate(lines[:15])]
+    nodes = {x: line_features(x) for x in lines}
+    links = {i: {i} for i in range(len(lines))}
+    for i, x in enumerate(lines):
+        for j in range(i):
+            y, most = lines[j], int(0.1 * max(len(x), len(lines[j])) + 1e-9)
+            (ka, sa), (kb, sb) = nodes[x], nodes[y]
+            if ka & kb and (sa ^ sb).bit_count() <= 26 and abs(len(x) - len(y)) <= most and distance(x, y) <= most and links[i] is not links[j]:
+                links[j] |= links[i]
+                for k in links[i]:
+                    links[k] = links[j]
+    monkeypatch.setattr(op8, "PART", 16, raising=False)
+    tables, cut = [], op8.Scratch.cut
+    monkeypatch.setattr(op8.Scratch, "cut", lambda self, df, *more: tables.append(cut(self, df, *more).count()) or cut(self, df, *more))
+    got = {x.doc_id for x in duplicate_lines(table(list(enumerate(lines)))).collect()}
+    assert got == {i for i in links if i != min(links[i])} and 15 <= len(got) < 80
+    assert max(tables) <= 12 * len(lines)
+
+
 def test_line_dedup_long_lines(table):
     """All words count at any length, and a line of one word value is a node like others."""
     import random
