@@ -250,6 +250,7 @@ def test_line_pairs_make_no_rows(table, monkeypatch):
                 for k in links[i]:
                     links[k] = links[j]
     monkeypatch.setattr(op8, "PART", 16, raising=False)
+    monkeypatch.setattr(op8, "LARGE", 16, raising=False)
     tables, cut = [], op8.Scratch.cut
     monkeypatch.setattr(op8.Scratch, "cut", lambda self, df, *more: tables.append(cut(self, df, *more).count()) or cut(self, df, *more))
     got = {x.doc_id for x in duplicate_lines(table(list(enumerate(lines)))).collect()}
