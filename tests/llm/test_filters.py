@@ -258,6 +258,29 @@ def test_line_pairs_make_no_rows(table, monkeypatch):
     assert max(tables) <= 12 * len(lines)
 
 
+def test_lines_travel_in_slices(table, texts, monkeypatch):
+    """op8, pipeline: nodes are made slice by slice and blocks meet cell by cell, so no step has the shuffle files of all; what goes is the same."""
+    from sparkloom.llm import line_dedup as op8
+
+    rows = texts + [(100 + i, f"many lines begin as this one does and end in their own way {'abcdefghijklm'[i % 13] * (3 + i // 3)} here {i}") for i in range(30)]
+    want = sorted((x.doc_id, x.nos) for x in duplicate_lines(table(rows)).collect())
+    monkeypatch.setattr(op8, "FEW", 10)
+    monkeypatch.setattr(op8, "LARGE", 8)
+    monkeypatch.setattr(op8, "SHORT", 1000)
+    monkeypatch.setattr(op8, "TEXTS", 1000)
+    written, cut = [], op8.Scratch.cut_parts
+
+    def spy(self, parts, *more):
+        n = [0]
+        out = cut(self, (n.__setitem__(0, n[0] + 1) or p for p in parts), *more)
+        written.append(n[0])
+        return out
+
+    monkeypatch.setattr(op8.Scratch, "cut_parts", spy)
+    assert sorted((x.doc_id, x.nos) for x in duplicate_lines(table(rows)).collect()) == want
+    assert op8.SLICES in written and sum(n > 1 for n in written) == 3, "nodes, large blocks, other blocks"
+
+
 def test_line_dedup_long_lines(table):
     """All words count at any length, and a line of one word value is a node like others."""
     import random
