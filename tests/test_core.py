@@ -33,6 +33,19 @@ def test_tokens(spark):
     assert [r.w for r in got] == [["father's", "day", "x"], [], None]
 
 
+def plan(df, which="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), which)().toString()
+
+
+def test_tokens_in_one_pass(spark):
+    """All word queries: no function of each word, which is not compiled; the words are those of stripping both ends."""
+    texts = ["a1b'c-- (x) \u00e9a\u00e9b", "ab\u2028 cd1\u2029", "a\x0bb\x0cc\x1cd\u0085e f\u00a0g", "\u0130stanbul \u212a \U0001f600a\U0001f600b\U0001f600", "9" * 5000 + "a" + "9" * 5000, "..", " z"]
+    df = text_frame(spark, *texts)
+    old = F.filter(F.transform(F.split(F.lower("line"), r"\s+"), lambda w: F.regexp_replace(w, "^[^a-z]+|[^a-z]+$", "")), lambda w: w != "")
+    assert all(r.a == r.b for r in df.select(tokens("line").alias("a"), old.alias("b")).collect())
+    assert "lambda" not in plan(df.select(tokens("line").alias("a")))
+
+
 def test_follow_count(spark):
     df = text_frame(spark, "perfect day", "a perfect perfect day", "perfect", "perfect night", None)
     assert rows(words.follow_count(df, "perfect")) == [("day", 2)]
@@ -50,6 +63,28 @@ def test_pmi(spark, threshold):
     assert (("x", "z") in got) == (threshold == 1)
 
 
+def test_pmi_in_batches(spark, monkeypatch):
+    """p4, jn7, jn11, agg9: pairs are counted as numbers, a few at a time, before they are shuffled; rare words and repeats make none."""
+    import collections
+    import itertools
+    import random
+
+    r = random.Random(2)
+    text = [" ".join(r.choices([f"w{a}" for a in "abcdefghijkl"] + ["rare" + x for x in "abcdefghijklmnop"], [9] * 12 + [1] * 16, k=r.randint(0, 9))) for _ in range(300)]
+    want = collections.Counter(p for t in text for p in itertools.permutations(sorted(set(t.split()[:6])), 2))
+    monkeypatch.setattr(words, "PAIRS", 16, raising=False)
+    out = words.pmi_pairs(text_frame(spark, *text).repartition(2), 5, max_tokens=6)
+    assert {(x.x, x.y): x["count"] for x in out.collect()} == {p: n for p, n in want.items() if n >= 5}
+    assert "collect_list" not in plan(out) and "MapInArrow" in plan(out)
+
+
+def test_first_words_without_pairs(spark):
+    """agg7: the '*' rows alone, without the table of pairs."""
+    df = text_frame(spark, "a b a c", "z", "b c", "")
+    assert rows(words.first_count(df), "left", "n") == [("a", 2), ("b", 2)]
+    assert plan(words.first_count(df)).count("Aggregate") == 1
+
+
 def test_pmi_of_nothing(spark):
     assert words.pmi_pairs(text_frame(spark), 2).count() == 0
 
@@ -67,6 +102,35 @@ def test_index(spark):
     assert coded["a"] == ([1, 5], [1, 2])
 
 
+def test_index_reads_texts_once(spark):
+    """p5, agg11, p6, src11: df comes from the blocks, not from a second pass over the texts."""
+    docs, idx = index(spark)
+    assert plan(idx).count("Generate explode") == 1
+    some = retrieval.build_index(docs, block_docs=2)
+    assert rows(some.where("term = 'a'").select("block", "df", "postings.gap")) == [(0, 2, [1]), (2, 2, [5])]
+
+
+def test_lists_are_coded_by_block(spark):
+    """fn12, fn12_bytes: the arrays of a list are made once, not for each of its elements, and blocks of ids follow each other."""
+    from sparkloom.functions.codec import encoded
+
+    docs = frame(spark, [(i, "a " * (i % 5) + "b") for i in range(1, 900, 7)], "doc_id bigint, text string")
+    out = sorted((r.block, r.before, bytes(r.data)) for r in retrieval.coded_postings(docs, ["a"], block_docs=100).collect())
+    ids = [i for i in range(1, 900, 7) if i % 5]
+    assert len(out) == 9 and [x[1] for x in out[:2]] == [0, max(i for i in ids if i < 100)]
+    assert decode_postings(b"".join(x[2] for x in out)) == (ids, [i % 5 for i in ids])
+    long = spark.createDataFrame([([(i, 1) for i in range(3)],)], "p array<struct<doc_id: bigint, tf: bigint>>").select(F.col("p.doc_id").alias("ids"), F.col("p.tf").alias("counts"))
+    assert plan(long.select(encoded("ids", "counts").alias("data"))).count(".doc_id") <= 1
+
+
+def test_sorted_postings_are_dealt_by_range(spark, sf_dir):
+    """srt5: the rows of a frequent term are dealt too, and their number of tasks is not fixed."""
+    df = catalog.ALL["srt5"][0](spark, sf_dir)
+    assert "RepartitionByExpression [term" in plan(df) and "ASC NULLS FIRST], 4" not in plan(df)
+    got = [(r.term, r.doc_id) for r in df.collect()]
+    assert got == sorted(got)
+
+
 @pytest.mark.parametrize(("query", "ids"), [("a c AND", {5}), ("a b OR c AND", {2, 5}), ("zzz a OR", {1, 5}), ("zzz a AND", set()), ("a", {1, 5})])
 def test_boolean(spark, query, ids):
     docs, idx = index(spark)
@@ -138,6 +202,31 @@ def test_sgd(spark):
     assert set(dict(rows(classify.train_sgd(samples(spark), "doc_id", shuffle_seed=3)))) == {1, 2, 3}
 
 
+@pytest.mark.parametrize("seed", [None, 7])
+def test_sgd_in_segments(spark, monkeypatch, seed):
+    """c1, agg15, srt6: no task reads all samples; each segment goes on with the weights that the one before has left."""
+    import random
+
+    r = random.Random(5)
+    df = frame(spark, [(i, r.choice(["spam", "ham"]), r.choices(range(40), k=r.randint(0, 12))) for i in range(200)], "doc_id bigint, label string, features array<int>")
+    whole = dict(rows(classify.train_sgd(df, "doc_id", shuffle_seed=seed)))
+    read = []
+    monkeypatch.setattr(classify, "SEGMENT", 200, raising=False)
+    monkeypatch.setattr(classify, "CHUNK", 7, raising=False)
+    train = classify._train
+    monkeypatch.setattr(classify, "_train", lambda delta: read.append(1) or train(delta))
+    got = dict(rows(classify.train_sgd(df.repartition(3), "doc_id", shuffle_seed=seed)))
+    assert got == whole and len(got) == 40 and len(read) >= 4
+
+
+def test_models_in_one_pass(spark):
+    """c3, c3_vote: the models of all thirds are one sum over the samples."""
+    from sparkloom.plans.programs import fold_models
+
+    df = frame(spark, [(0, "spam", [1, 1]), (1, "ham", [2]), (2, "spam", [1]), (3, "ham", [1])], "doc_id bigint, label string, features array<int>")
+    assert rows(fold_models(df), "model", "feature", "weight") == [(0, 1, 0.001 - 0.0005 * 1 + 0.0005), (1, 2, -0.001), (2, 1, 0.001)] and "Union" not in plan(fold_models(df))
+
+
 @pytest.mark.parametrize("name", ["c1", "agg15", "srt6"])
 def test_training_sees_whole_texts(spark, tmp_path, name):
     text = " ".join(["plain"] * 60 + ["late"])
